@@ -1,0 +1,32 @@
+"""Queries of the training-data operators, pN_..., over their whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ragstone.llm import multi_index
+from ragstone.session import read_table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.similar_pairs(read_table(spark, sf_dir, "naive_rag"))
+
+
+def p1_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.similar_vectors(read_table(spark, sf_dir, "naive_rag"))
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.recall_report(read_table(spark, sf_dir, "naive_rag"))
+
+
+def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: f for n, f in globals().items() if n[:1] == "p" and n[1:2].isdigit()}
+
+
+def llm_sql() -> dict[str, str]:
+    from ragstone.llm.sql import SQL
+
+    return dict(SQL)
