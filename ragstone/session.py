@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out anew only if it comes in fewer splits than the cluster has cores.
+
+    A large input has many splits and passes through untouched; one small file
+    in front of an expensive Python step would otherwise keep a single core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits * 2 > cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 
@@ -46,6 +57,13 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _is_stars(e: DataFrame) -> bool:
+    """Every node hangs on one root, and no root hangs on another."""
+    twice = e.groupBy("u").count().where("count > 1").select("u")
+    inner = e.join(e.select(F.col("u").alias("r")).distinct(), F.col("v") == F.col("r"), "left_semi").select("u")
+    return twice.unionByName(inner).isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` of an undirected edge list; component = smallest node id.
 
@@ -62,16 +80,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         .distinct()
     )
     e = materialize(e, "cc")
-    last = None
     for _ in range(max_rounds):
+        if _is_stars(e):
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: larger neighbours move to the smallest one
-        large = (
-            both.where(F.col("v") > F.col("u")).join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        large = large.where("u <> v").distinct()
+        large = e.select(F.col("v").alias("u"), F.col("u").alias("w")).join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v")).distinct()
         # small star: smaller neighbours (and the node itself) move to the smallest one
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -80,10 +95,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .where("u <> v").distinct()
         )
         e = materialize(small, "cc")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == last:
-            break
-        last = mark
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("u"), "v").distinct()
