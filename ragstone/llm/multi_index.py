@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ragstone.session import materialize
+from ragstone.session import materialize, spread
 
 SCALE = 32767.0
-BIN_ROWS = 4096
+BIN_ROWS = 8192
 MAX_CENTROIDS = 1024
 SAMPLE_ROWS = 20_000
 
@@ -83,6 +83,18 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _chained(c: np.ndarray) -> np.ndarray:
+    """The centroids reordered so that neighbours in the order are near each other (greedy nearest chain).
+
+    Cells are packed into bins in centroid order, so the cells of one query fall into fewer bins.
+    """
+    left, order = list(range(1, len(c))), [0]
+    while left:
+        d = ((c[left] - c[order[-1]]) ** 2).sum(1)
+        order.append(left.pop(int(d.argmin())))
+    return c[order]
+
+
 def fit_codebooks(valid: DataFrame, rows: int, dim: int, sample_rows: int, seed: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The two codebooks, fitted on at most about ``sample_rows`` rows drawn by a hash of the id.
 
@@ -98,7 +110,7 @@ def fit_codebooks(valid: DataFrame, rows: int, dim: int, sample_rows: int, seed:
         sample = valid.select("vec").limit(min(sample_rows, rows)).toArrow()
     x = _unit(sample.column("vec"), dim)
     k = int(min(MAX_CENTROIDS, max(4, 2 ** round(math.log2(math.sqrt(rows / 32) + 1)))))
-    return _kmeans(x[:, : dim // 2], k, seed), _kmeans(x[:, dim // 2 :], k, seed + 1)
+    return _chained(_kmeans(x[:, : dim // 2], k, seed)), _chained(_kmeans(x[:, dim // 2 :], k, seed + 1))
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -189,7 +201,7 @@ def similar_vectors(
                 names=["id", "grp", "q", "cell"],
             )
 
-    coded = valid.mapInArrow(encode, "id bigint, grp string, q binary, cell int")
+    coded = spread(valid).mapInArrow(encode, "id bigint, grp string, q binary, cell int")
     # copies: the k+1 smallest ids of each distinct vector stand for all of them
     by_copy = Window.partitionBy("grp", "q").orderBy("id")
     heads = materialize(coded.withColumn("rn", F.row_number().over(by_copy)).where(F.col("rn") <= k + 1), "imi")
@@ -258,7 +270,7 @@ def similar_vectors(
         hit = F.coalesce(F.expr(query), F.lit(False)).cast("int") + F.when(F.col("rn") > k, 1).otherwise(0)
         asks = F.max(hit).over(Window.partitionBy("grp", "q")) > 0
     placed = (
-        heads.withColumn("asks", asks).where("rn = 1").select("id", "grp", "q", "cell", "asks")
+        spread(heads.withColumn("asks", asks).where("rn = 1").select("id", "grp", "q", "cell", "asks"))
         .mapInArrow(place, "bin bigint, kind tinyint, id bigint, q binary, cells array<int>")
         .repartition("bin").sortWithinPartitions("bin", "kind")
     )
