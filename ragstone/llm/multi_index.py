@@ -444,5 +444,5 @@ def recall_report(df: DataFrame, query: str = "id % 100 = 0", k: int = 10, **kw)
     return exact.join(got, ["id", "neighbour_id"], "left").agg(
         F.countDistinct("id").alias("queries"), F.count("*").alias("exact_pairs"),
         F.coalesce(F.sum("hit"), F.lit(0)).alias("found_pairs"),
-        F.round(F.coalesce(F.sum("hit"), F.lit(0)) / F.count("*"), 4).alias("recall"),
+        F.round(F.try_divide(F.coalesce(F.sum("hit"), F.lit(0)), F.count("*")), 4).alias("recall"),
     )
