@@ -61,14 +61,14 @@ def running_unit(unit: Column, known: list[str]) -> Column:
     common = _count_in(words, known)
     letters = F.length(F.regexp_replace(solid, "(?U)[^\\p{L}]", ""))
     odd = F.length(F.regexp_replace(solid, "(?U)[\\p{L}\\p{N}.,;:!?¡¿'’\"“”«»()\\[\\]–—_-]", ""))
-    enough = ((n >= 8) & (common >= 1) & (common >= 0.1 * n)) | ((n >= 5) & (common >= 2))
-    return enough & (common <= 0.7 * n) & (letters >= 2.6 * n) & (letters >= 0.6 * size) & (odd <= 0.015 * size)
+    enough = (n >= 5) & (common >= 0.1 * n) & ((n >= 8) | (common >= 2))
+    return enough & (common <= 0.7 * n) & (letters >= 2.6 * n) & (letters >= 0.6 * size) & (odd <= 0.035 * size)
 
 
 def running_share(text: Column, known: list[str]) -> Column:
     """Share of the signs (blanks left out) that stand in running sentences."""
     joined = F.regexp_replace(text, "(?U)[ \\t\\r]*\\n[ \\t]*(?=\\p{Ll})", " ")  # wrapped lines
-    units = F.split(F.regexp_replace(joined, "(?U)(?<=[.!?…])[\\s]+|\\n+", "\u0001"), "\u0001")
+    units = F.split(F.regexp_replace(joined, "(?U)(?<=[.!?…])\\s+(?=[\\p{Lu}¡¿\"'“«(\\[])|\\n+", "\u0001"), "\u0001")
     size = lambda c: F.length(F.regexp_replace(c, WS, "")).cast("double")
     good = F.aggregate(F.filter(units, lambda u: running_unit(u, known)), F.lit(0.0), lambda a, u: a + size(u))
     return good / F.nullif(size(text), F.lit(0.0))
