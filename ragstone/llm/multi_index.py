@@ -151,20 +151,32 @@ def _stairs(k1: int, k2: int, pops: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _walk_many(d1, d2, counts, want, stairs, pops):
-    """``walk_cells`` for a block of queries: the first ``pops`` pops are the ``pops`` smallest sums of
-    the stairs, so one partial sort replaces the heap; a query not served by them walks with the heap."""
+    """``walk_cells`` for a block of queries, as flat arrays ``(query, cell)``.
+
+    The first ``pops`` pops are the ``pops`` smallest sums of the stairs, so one
+    partial sort replaces the heap; a query not served by them walks with the heap.
+    """
     a, b = stairs
     o1, o2 = np.argsort(d1, axis=1, kind="stable"), np.argsort(d2, axis=1, kind="stable")
     s1, s2 = np.take_along_axis(d1, o1, 1), np.take_along_axis(d2, o2, 1)
     sums = s1[:, a] + s2[:, b]
-    order = np.argsort(sums, axis=1)[:, :pops]
+    if pops < sums.shape[1]:
+        part = np.argpartition(sums, pops - 1, axis=1)[:, :pops]
+        order = np.take_along_axis(part, np.argsort(np.take_along_axis(sums, part, 1), axis=1), 1)
+    else:
+        order = np.argsort(sums, axis=1)
     cells = np.take_along_axis(o1, a[order], 1) * d2.shape[1] + np.take_along_axis(o2, b[order], 1)
     pop = counts[cells]
-    before = np.cumsum(pop, axis=1) - pop
-    use = (before < want) & (pop > 0)
-    short = before[:, -1] + pop[:, -1] < want
-    for q in range(len(d1)):
-        yield walk_cells(d1[q], d2[q], counts, want) if short[q] else cells[q][use[q]]
+    upto = np.cumsum(pop, axis=1)
+    use = (upto - pop < want) & (pop > 0)
+    short = np.flatnonzero(upto[:, -1] < want)
+    use[short] = False
+    query, place = np.nonzero(use)
+    flat = cells[query, place]
+    for q in short:
+        walked = np.array(walk_cells(d1[q], d2[q], counts, want), np.int64)
+        query, flat = np.r_[query, np.full(len(walked), q)], np.r_[flat, walked]
+    return query, flat
 
 
 def similar_vectors(
@@ -232,36 +244,44 @@ def similar_vectors(
         counts, first_bin, parts = tables.value
         for t in batches:
             ids, cells = t.column("id").to_numpy(), t.column("cell").to_numpy()
-            asks = t.column("asks").to_pylist()
+            asks = np.array(t.column("asks").to_pylist(), dtype=bool)
             q, groups = t.column("q"), t.column("grp").to_pylist()
             raw = np.frombuffer(b"".join(q.to_pylist()), "<i2").reshape(-1, dim).astype(np.float32) / SCALE
-            take, bins, kinds, lists = [], [], [], []
+            take, bins, kinds, sizes, flats = [], [], [], [], []
             for g in set(groups):
                 rows_g = np.array([r for r, x in enumerate(groups) if x == g])
                 f, p = first_bin[g], parts[g]
-                own = f[cells[rows_g]] + ids[rows_g] % p[cells[rows_g]]
-                take.extend(rows_g.tolist())
-                bins.extend(own.tolist())
-                kinds.extend([0] * len(rows_g))
-                lists.extend([[int(c)] for c in cells[rows_g]])
-                ask = np.array([r for r in rows_g if asks[r]], dtype=int)
+                take.append(rows_g)
+                bins.append(f[cells[rows_g]] + ids[rows_g] % p[cells[rows_g]])
+                kinds.append(np.zeros(len(rows_g), np.int8))
+                sizes.append(np.ones(len(rows_g), np.int64))
+                flats.append(cells[rows_g].astype(np.int64))
+                ask = rows_g[asks[rows_g]]
                 for lo in range(0, len(ask), 256):
                     block = ask[lo : lo + 256]
                     d1, d2 = _nearest(raw[block, :half], c1), _nearest(raw[block, half:], c2)
-                    for r, walked in zip(block, _walk_many(d1, d2, counts[g], want, stairs, pops)):
-                        visits: dict[int, list[int]] = {}
-                        for c in walked:
-                            for b in range(f[c], f[c] + p[c]):
-                                visits.setdefault(int(b), []).append(int(c))
-                        for b, cs in visits.items():
-                            take.append(int(r))
-                            bins.append(b)
-                            kinds.append(1)
-                            lists.append(sorted(cs))
+                    who, cell = _walk_many(d1, d2, counts[g], want, stairs, pops)
+                    split = p[cell]  # all bins of a split cell
+                    if (split > 1).any():
+                        inner = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
+                        who, cell = np.repeat(who, split), np.repeat(cell, split)
+                        to = f[cell] + inner
+                    else:
+                        to = f[cell]
+                    o = np.lexsort((cell, to, who))
+                    who, cell, to = who[o], cell[o], to[o]
+                    first = np.flatnonzero(np.r_[True, (np.diff(who) != 0) | (np.diff(to) != 0)])
+                    take.append(block[who[first]])
+                    bins.append(to[first])
+                    kinds.append(np.ones(len(first), np.int8))
+                    sizes.append(np.diff(np.r_[first, len(who)]))
+                    flats.append(cell)
             if take:
-                at = pa.array(take, pa.int64())
+                at = pa.array(np.concatenate(take), pa.int64())
+                offsets = np.r_[0, np.cumsum(np.concatenate(sizes))]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flats), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bins, pa.int64()), pa.array(kinds, pa.int8()), t.column("id").take(at), q.take(at), pa.array(lists, pa.list_(pa.int32()))],
+                    [pa.array(np.concatenate(bins), pa.int64()), pa.array(np.concatenate(kinds), pa.int8()), t.column("id").take(at), q.take(at), lists],
                     names=["bin", "kind", "id", "q", "cells"],
                 )
 
