@@ -15,8 +15,7 @@ from ragstone.functions import vector
 from ragstone.functions.text import strip, words
 
 # Fixed value: the start of an article at the start of a line, behind Markdown marks.
-ARTICLE_START = "(?miuU)^(?=[\\s#*_>]*(?:<u>)?\\**Art[íi]culo\\s+\\d+\\s*[oº]?)"
-_ARTICLE_ONLY = "(?miuU)^[\\s#*_>]*(?:<u>)?\\**Art[íi]culo\\s+\\d+\\s*[oº]?"
+ARTICLE_START = "(?miuUd)^([\\s#*_>]*(?:<u>)?\\**Art[íi]culo\\s+\\d+\\s*[oº]?)"
 _MARK = "\u0001"
 
 
@@ -79,19 +78,19 @@ def recursive(text: Column, size: int = 40) -> Column:
 
 def article_blocks(text: Column) -> Column:
     """The text cut before every article start; the first element is the preamble (may be empty)."""
-    return F.split(F.regexp_replace(text, ARTICLE_START, _MARK), _MARK, -1)
+    return F.split(F.regexp_replace(text, ARTICLE_START, _MARK + "$1"), _MARK, -1)
 
 
 def article_spans(text: Column) -> Column:
     """From each article start to the next; no preamble, untrimmed, none without articles."""
-    return F.when(F.regexp_like(text, F.lit(_ARTICLE_ONLY)), F.slice(article_blocks(text), 2, 1 << 30)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.regexp_like(text, F.lit(ARTICLE_START)), F.slice(article_blocks(text), 2, 1 << 30)).otherwise(F.array().cast("array<string>"))
 
 
 def by_article(text: Column, max_words: int = 250, overlap: int = 25) -> Column:
     """One chunk per article, line breaks kept; longer ones in word windows; without articles word windows of the whole text."""
     blocks = F.filter(F.transform(article_blocks(text), strip), lambda b: b != "")
     cut = F.flatten(F.transform(blocks, lambda b: F.when(F.size(words(b)) <= max_words, F.array(b)).otherwise(slide(words(b), max_words, overlap))))
-    return F.when(F.regexp_like(text, F.lit(_ARTICLE_ONLY)), cut).otherwise(fixed(text, max_words, overlap))
+    return F.when(F.regexp_like(text, F.lit(ARTICLE_START)), cut).otherwise(fixed(text, max_words, overlap))
 
 
 # Strategies by name, as compared in the chunking study.

@@ -21,7 +21,7 @@ STOP_WORDS = (
     "which", "from", "at", "was", "were", "these", "can", "has", "have", "not", "but", "their", "such", "into", "than", "also", "how", "our", "its", "may",
 )
 # Fixed value: a line that opens a bibliography.
-BIBLIOGRAPHY = "(?imuU)^\\s*(?:#{1,6}\\s*)?(?:\\*+\\s*)?(references|bibliography|literature cited|works cited)\\b"
+BIBLIOGRAPHY = "(?imuUd)^\\s*(?:#{1,6}\\s*)?(?:\\*+\\s*)?(references|bibliography|literature cited|works cited)\\b"
 # Fixed value: the instruction that instruction-tuned embedders expect before a question.
 INSTRUCTION = "Instruct: Given a question, retrieve the scientific paper passage that answers it\nQuery: "
 
