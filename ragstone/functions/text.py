@@ -11,6 +11,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WS = "(?U)[\\s\\x{1C}-\\x{1F}]+"
 EDGE = "(?U)^[\\s\\x{1C}-\\x{1F}]+|[\\s\\x{1C}-\\x{1F}]+$"
@@ -103,10 +104,13 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, "<[^>]+>", "")
 
 
-@F.pandas_udf("string")
-def unescape_html(s: pd.Series) -> pd.Series:
+def unescape_html(c: Column) -> Column:
     """HTML entities decoded; the full entity table is not in the JVM functions."""
-    return s.map(html.unescape, na_action="ignore")
+
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(run, StringType())(c)
 
 
 def instructed(query: Column, model: Column, instruction: str = INSTRUCTION) -> Column:

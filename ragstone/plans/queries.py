@@ -1,15 +1,464 @@
-"""The registry of core queries and their SQL."""
+"""The registry of core queries, each over its whole tables, and (in ``sql``) their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ragstone.functions import chunkers, text, vector
+from ragstone.functions.embedders import hash_embedding
+from ragstone.operators import evaluation as ev
+from ragstone.operators import knn as nn
+from ragstone.operators import statistics as st
+from ragstone.operators.bm25 import BM25
+from ragstone.operators.fusion import collapse, rrf, weighted_fusion
+from ragstone.plans import pipelines
+from ragstone.session import materialize, read_table, spread
+from ragstone.sources import files, generators, sinks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(read_table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+
+
+def paper(source) -> F.Column:
+    """The paper that a stored source name means: case, outer blanks and a file suffix do not matter."""
+    return F.regexp_replace(F.lower(text.strip(source)), "\\.(pdf|md|txt)$", "")
+
+
+def papers(spark: SparkSession, d: str) -> DataFrame:
+    rows = read_table(spark, d, "ram_rag").select("id", paper(F.col("source")).alias("source"), "text")
+    return spread(rows).withColumn("embedding", hash_embedding(F.col("text")))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out questions; group: their language by the opening question mark."""
+    return read_table(spark, d, "eval_pairs").select(
+        F.col("item_id").alias("qid"), F.col("question").alias("query"), F.col("gold_source").alias("gold"),
+        F.when(F.col("question").startswith("¿"), "es").otherwise("en").alias("grp"))
+
+
+def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+# ------------------------------------------------------------------ vectors
+
+
+def _vectors(spark, d):
+    items = read_table(spark, d, "embeddings")
+    return items, items.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid")
+
+
+@query
+def knn_exact(spark, d):
+    items, asks = _vectors(spark, d)
+    return rounded(nn.knn(items, asks, 10, item_id="vec_id"), "distance")
+
+
+@query
+def knn_filtered(spark, d):
+    items, asks = _vectors(spark, d)
+    return rounded(nn.knn(items, asks, 10, item_id="vec_id", where=F.col("label") == 3), "distance")
+
+
+@query
+def knn_self_excluded(spark, d):
+    items, asks = _vectors(spark, d)
+    return rounded(nn.knn(items, asks, 10, item_id="vec_id", exclude_self=True), "distance")
+
+
+@query
+def knn_columns(spark, d):
+    items, asks = _vectors(spark, d)
+    return rounded(nn.knn_columns(items, asks, 10, item_id="vec_id"), "distance")
+
+
+@query
+def knn_single(spark, d):
+    """One question against the table: order by distance, limit k."""
+    items, _ = _vectors(spark, d)
+    one = items.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    scored = items.join(one, F.lit(True)).select(F.col("vec_id").alias("id"), F.round(F.greatest(F.lit(0.0), vector.cosine_distance(F.col("q"), F.col("embedding"))), 9).alias("distance"))
+    return rounded(scored.orderBy("distance", "id").limit(3), "distance")
+
+
+@query
+def vector_norms(spark, d):
+    items, _ = _vectors(spark, d)
+    e = F.col("embedding")
+    first = F.array(*[F.lit(1.0)] + [F.lit(0.0)] * 63).cast("array<float>")
+    return items.select(
+        F.col("vec_id").alias("id"), F.round(vector.norm(e), 6).alias("norm"), F.round(vector.norm(vector.l2_normalise(e)), 5).alias("unit_norm"),
+        F.round(vector.l2_distance(e, first), 6).alias("l2"), F.round(vector.negative_inner_product(e, first), 6).alias("nip"),
+        F.round(vector.cosine_distance(e, first), 6).alias("cosine"), vector.has_dim(e, 64).alias("is_64"))
+
+
+@query
+def ivf_knn(spark, d):
+    items, asks = _vectors(spark, d)
+    return rounded(nn.IVFIndex(items, "vec_id").search(asks, 10, 8), "distance")
+
+
+@query
+def lsh_knn(spark, d):
+    items, asks = _vectors(spark, d)
+    return rounded(nn.lsh_knn(items, asks, 10, item_id="vec_id"), "distance")
+
+
+@query
+def ann_recall_sweep(spark, d):
+    items, asks = _vectors(spark, d)
+    return nn.recall_sweep(items, asks, 10, (1, 4, 16), item_id="vec_id")
+
+
+@query
+def recall_of_exact(spark, d):
+    """Recall of the filtered search against the unfiltered one: the same measure as for an index, on two exact lists."""
+    items, asks = _vectors(spark, d)
+    full, part = nn.knn(items, asks, 10, item_id="vec_id"), nn.knn(items, asks, 10, item_id="vec_id", where=F.col("label") < 5)
+    return rounded(nn.recall_at_k(full, part, 10), "recall")
+
+
+# ------------------------------------------------------------------ chunking and text
+
+
+def _chunks(spark, d, f, **kw):
+    return chunkers.explode_chunks(documents(spark, d).select("doc_id", "text"), lambda c: f(c, **kw))
+
+
+@query
+def chunk_fixed(spark, d):
+    return _chunks(spark, d, chunkers.fixed, size=150, overlap=25)
+
+
+@query
+def chunk_fixed_small(spark, d):
+    return _chunks(spark, d, chunkers.fixed, size=40, overlap=10)
+
+
+@query
+def chunk_sentence(spark, d):
+    return _chunks(spark, d, chunkers.sentences)
+
+
+@query
+def chunk_sentence_groups(spark, d):
+    return _chunks(spark, d, chunkers.sentence_groups, per_chunk=3, overlap=1)
+
+
+@query
+def chunk_protected_sentences(spark, d):
+    return _chunks(spark, d, chunkers.protected_sentence_groups)
+
+
+@query
+def chunk_recursive(spark, d):
+    return _chunks(spark, d, chunkers.recursive, size=40)
+
+
+@query
+def chunk_by_article(spark, d):
+    return _chunks(spark, d, chunkers.by_article)
+
+
+@query
+def chunk_strategies(spark, d):
+    made = chunkers.strategy_chunks(documents(spark, d).select("doc_id", "text"))
+    return st.chunk_stats(made, "chunk", by=["strategy"])
+
+
+@query
+def chunk_semantic(spark, d):
+    """Sentences of the documents, embedded by hashing, cut where neighbours differ."""
+    s = _chunks(spark, d, chunkers.sentences).withColumn("embedding", F.coalesce(hash_embedding(F.col("chunk")), F.array(*[F.lit(0.0)] * 64).cast("array<float>")))
+    got = chunkers.semantic(s, "doc_id", "chunk_index", "chunk", "embedding", 0.5)
+    return got.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("n_sentences").cast("long").alias("n_sentences"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query
+def article_words(spark, d):
+    return st.article_word_counts(documents(spark, d), "doc_id").withColumn("article_no", F.col("article_no").cast("long"))
+
+
+@query
+def article_mentions(spark, d):
+    """Documents that name each of the articles 1..9, and that do so when ordinals count, too."""
+    docs = documents(spark, d).select(F.col("text"), F.explode(F.sequence(F.lit(1), F.lit(300), F.lit(13))).alias("article"))
+    return docs.groupBy("article").agg(
+        F.sum(text.has_article(F.col("text"), F.col("article")).cast("long")).alias("n"),
+        F.sum(text.has_article(F.col("text"), F.col("article"), ordinal_aware=True).cast("long")).alias("n_ordinal"))
+
+
+@query
+def chunk_stats(spark, d):
+    return st.chunk_stats(read_table(spark, d, "chunk_lab"), by=["strategy"])
+
+
+@query
+def chunk_stats_of_strategy(spark, d):
+    return st.chunk_stats(read_table(spark, d, "chunk_lab").where("strategy = 'by-article'"))
+
+
+def _lengths(spark, d):
+    return documents(spark, d).select("doc_id", text.word_count(F.col("text")).alias("n"))
+
+
+@query
+def word_percentiles(spark, d):
+    return st.percentiles(_lengths(spark, d), "n", [0.5, 0.9, 0.95] + [i / 10 for i in range(11) if i not in (5, 9)])
+
+
+@query
+def words_under_caps(spark, d):
+    return st.fit_under_caps(_lengths(spark, d), "n")
+
+
+@query
+def word_histogram(spark, d):
+    return st.histogram(_lengths(spark, d), "n", 40, 0, 800, clip=True)
+
+
+@query
+def tokenize(spark, d):
+    t = text.tokens(F.col("text"))
+    return documents(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"), F.md5(F.array_join(t, " ")).alias("tokens_md5"))
+
+
+@query
+def markdown_quality(spark, d):
+    return documents(spark, d).select("doc_id", *[c.alias(n) for n, c in text.markdown_stats(F.col("text")).items()])
+
+
+def _density(spark, d):
+    rows = spread(read_table(spark, d, "ram_rag").select("id", "text").where("text is not null"))
+    return rows.select("id", text.word_count(F.col("text")).alias("w"), text.reference_density(F.col("text")).alias("density"))
+
+
+@query
+def ref_density(spark, d):
+    return _density(spark, d).select("id", F.round("density", 6).alias("density"), ((F.col("w") >= 8) & (F.round("density", 9) >= 20)).alias("is_ref"))
+
+
+@query
+def ref_density_band(spark, d):
+    return _density(spark, d).where("density > 20 and density < 30").select("id", F.round("density", 6).alias("density"))
+
+
+@query
+def ref_density_top(spark, d):
+    return st.arg_max(_density(spark, d).withColumn("density", F.round("density", 6)), "density", "id")
+
+
+@query
+def ref_clean(spark, d):
+    rows = spread(read_table(spark, d, "ram_rag").select("id", "text"))
+    return rows.where(F.col("text").isNotNull() & ~text.is_reference_chunk(F.col("text"))).select("id")
+
+
+@query
+def bibliography_cut(spark, d):
+    rows = spread(read_table(spark, d, "ram_rag").select("id", "text"))
+    return rows.select("id", F.length(text.cut_bibliography(F.col("text"))).cast("long").alias("kept"))
+
+
+@query
+def snippets(spark, d):
+    t = F.col("text")
+    return documents(spark, d).select("doc_id", F.md5(text.snippet(t)).alias("snippet"), F.md5(text.collapse(t, 150)).alias("flat"))
+
+
+@query
+def table_names(spark, d):
+    rows = read_table(spark, d, "naive_rag").select("source", "model").distinct()
+    return rows.select("source", "model", text.table_name(F.col("source"), F.col("model")).alias("name"), text.file_stem(F.col("source")).alias("stem"))
+
+
+@query
+def instructed_queries(spark, d):
+    return questions(spark, d).select("qid", F.md5(text.instructed(F.col("query"), F.lit("Qwen3-Embedding"))).alias("with"), F.md5(text.instructed(F.col("query"), F.lit("minilm"))).alias("without"))
+
+
+@query
+def plain_of_markup(spark, d):
+    return documents(spark, d).select("doc_id", F.md5(text.strip_tags(F.concat(F.lit("<p class='x'>"), F.col("text"), F.lit("</p>")))).alias("plain"))
+
+
+# ------------------------------------------------------------------ retrieval
+
+
+@query
+def bm25_terms(spark, d):
+    return BM25(papers(spark, d)).postings()
+
+
+@query
+def bm25_idf(spark, d):
+    return rounded(BM25(papers(spark, d)).idf(), "idf")
+
+
+@query
+def bm25_corpus(spark, d):
+    return rounded(BM25(papers(spark, d)).corpus(), "avgdl")
+
+
+@query
+def bm25_topk(spark, d):
+    return rounded(BM25(papers(spark, d)).top_k(questions(spark, d), 10), "score")
+
+
+@query
+def hash_embed(spark, d):
+    return papers(spark, d).select("id", F.posexplode("embedding").alias("pos", "value")).select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query
+def dense_topk(spark, d):
+    return rounded(pipelines.dense(papers(spark, d), questions(spark, d), 10), "distance")
+
+
+def _both(spark, d, depth=30):
+    chunks, asked = papers(spark, d), questions(spark, d)
+    return chunks, asked, materialize(pipelines.dense(chunks, asked, depth), "rank"), materialize(BM25(chunks).top_k(asked, depth), "rank")
+
+
+@query
+def rrf_fusion(spark, d):
+    _, _, near, lexical = _both(spark, d)
+    return rounded(rrf([near, lexical], 60, 10), "score", digits=9)
+
+
+@query
+def weighted_sum_fusion(spark, d):
+    _, _, near, lexical = _both(spark, d)
+    return rounded(weighted_fusion([(near.select("qid", "id", (1 - F.col("distance")).alias("score")), 0.5), (lexical, 0.5)], 10), "score")
+
+
+@query
+def doc_rank_collapse(spark, d):
+    chunks, _, _, lexical = _both(spark, d)
+    return collapse(lexical.join(chunks.select("id", "source"), "id").where("source is not null"), "source").withColumn("first_rank", F.col("first_rank").cast("long"))
+
+
+def _paper_ranks(spark, d):
+    chunks, asked, near, lexical = _both(spark, d)
+    owners = materialize(chunks.where("source is not null").select("id", "source"), "rank")
+    kinds = {"bm25": lexical, "dense": near, "hybrid": rrf([near, lexical], 60, 30)}
+    both = None
+    for name, r in kinds.items():
+        p = collapse(r.select("qid", "id", "rank").join(owners, "id"), "source").select(F.lit(name).alias("retriever"), "qid", "id", "rank")
+        both = p if both is None else both.unionByName(p)
+    return ev.gold_ranks(asked.where("gold is not null"), both, by=["retriever"])
+
+
+@query
+def gold_ranks(spark, d):
+    return _paper_ranks(spark, d).drop("grp")
+
+
+@query
+def scorecard(spark, d):
+    return ev.scorecard(_paper_ranks(spark, d), by=["retriever"])
+
+
+@query
+def scorecard_by_group(spark, d):
+    return ev.hit_scorecard(_paper_ranks(spark, d), by=["retriever", "grp"])
+
+
+@query
+def leaderboard(spark, d):
+    rows = ev.scorecard(_paper_ranks(spark, d), by=["retriever"]).withColumnRenamed("retriever", "model")
+    return ev.leaderboard(rows).select("model", "mrr")
+
+
+@query
+def upsert_scorecard(spark, d):
+    """Two stored rows, one of them replaced."""
+    old = spark.createDataFrame([("bm25", 0.1), ("old", 0.2)], "model string, mrr double")
+    new = ev.scorecard(_paper_ranks(spark, d), by=["retriever"]).select(F.col("retriever").alias("model"), "mrr")
+    return sinks.upsert(old, new, "model")
+
+
+@query
+def document_hits(spark, d):
+    """Share of questions whose paper is among the sources of the first three chunks."""
+    chunks, asked, _, lexical = _both(spark, d)
+    got = lexical.join(chunks.select("id", "source"), "id")
+    q = asked.select("qid", F.col("gold").alias("doc"), F.col("gold").isNotNull().alias("in_corpus"))
+    return ev.document_hits(got, q, 3)
+
+
+@query
+def gold_counts(spark, d):
+    return questions(spark, d).agg(
+        F.countDistinct("gold").alias("golds"), F.sum(F.col("gold").isNotNull().cast("long")).alias("in_corpus"), F.sum(F.col("gold").isNull().cast("long")).alias("control"))
+
+
+@query
+def ablation(spark, d):
+    raw = papers(spark, d).where("text is not null and embedding is not null").select("id", "text", "embedding")
+    raw = materialize(raw.withColumn("is_ref", text.is_reference_chunk(F.col("text"))), "rank")
+    return pipelines.ablation({("hash-64", False): raw.drop("is_ref"), ("hash-64", True): raw.where("not is_ref").drop("is_ref")}, questions(spark, d))
+
+
+@query
+def bake_off(spark, d):
+    return pipelines.bake_off(papers(spark, d).where("source is not null"), questions(spark, d).where("gold is not null"), "hash-64", 64)
+
+
+@query
+def abstention(spark, d):
+    """Retrieval gating: questions whose nearest chunk is farther than a threshold are not answered."""
+    top = pipelines.dense(papers(spark, d), questions(spark, d), 1)
+    return top.select("qid", (F.round("distance", 6) > 0.5).alias("abstain"))
+
+
+# ------------------------------------------------------------------ tables
+
+
+@query
+def row_keys(spark, d):
+    return sinks.with_row_key(read_table(spark, d, "documents").select("doc_id"), ["doc_id"], "row_key", 8)
+
+
+@query
+def ingest_roundtrip(spark, d):
+    """Chunks with embeddings, written partitioned by source and read back."""
+    rows = read_table(spark, d, "documents").where("text is not null").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("source"), "text")
+    stored = materialize(pipelines.ingest(rows, lambda c: chunkers.fixed(c, 150, 25)), "ingest")
+    return stored.groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query
+def catalog_probe(spark, d):
+    return files.catalog_probe(spark)
+
+
+@query
+def synthetic_sentences(spark, d):
+    return generators.sentences(spark, 5000, 1)
+
+
+@query
+def synthetic_vectors(spark, d):
+    return generators.unit_vectors(spark, 2000, 16, 3).select("id", F.round(vector.norm(F.col("embedding")), 5).alias("norm"))
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def core_sql() -> dict[str, str]:
-    return {}
+    from ragstone.plans.sql import SQL
+
+    return dict(SQL)
