@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragstone.functions import vector
-from ragstone.functions.text import strip, words
+from ragstone.functions.text import bound, strip, words
 
 # Fixed value: the start of an article at the start of a line, behind Markdown marks.
 ARTICLE_START = "(?miuUd)^([\\s#*_>]*(?:<u>)?\\**Art[íi]culo\\s+\\d+\\s*[oº]?)"
@@ -22,10 +22,14 @@ _MARK = "\u0001"
 def slide(items: Column, size: int, overlap: int) -> Column:
     """Windows over an array in closed form: one window if the items fit, then one per step until the end is reached."""
     step = max(1, size - overlap)
-    n = F.size(items)
-    last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(items, i * step + 1, size), " "))
+
+    def windows(it: Column) -> Column:
+        n = F.size(it)
+        last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(it, i * step + 1, size), " "))
+
+    return bound(items, windows)
 
 
 def fixed(text: Column, size: int = 150, overlap: int = 25) -> Column:

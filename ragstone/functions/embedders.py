@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragstone.functions.text import tokens
+from ragstone.functions.text import bound, tokens
 
 
 class Embedder(Protocol):
@@ -31,10 +31,15 @@ class Embedder(Protocol):
 
 def hash_embedding(text: Column, dim: int = 64) -> Column:
     """Token counts in ``dim`` md5 buckets, unit length; null for a text without tokens. Deterministic on any engine."""
-    bucket = F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long") % dim).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(F.size(tokens(text)) > 0, F.transform(counts, lambda x: (x / size).cast("float")))
+    def spread_out(found: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(found, lambda b: b == i)).cast("double"))
+
+    def unit(counts: Column) -> Column:
+        size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
+        return F.when(size > 0, bound(size, lambda z: F.transform(counts, lambda x: (x / z).cast("float"))))
+
+    buckets = F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("long") % dim).cast("int"))
+    return bound(bound(buckets, spread_out), unit)
 
 
 class HashingEmbedder:

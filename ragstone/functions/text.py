@@ -7,6 +7,7 @@ Unicode aware; Java's defaults are not, hence the flags in every pattern.
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +28,11 @@ BIBLIOGRAPHY = "(?imuUd)^\\s*(?:#{1,6}\\s*)?(?:\\*+\\s*)?(references|bibliograph
 INSTRUCTION = "Instruct: Given a question, retrieve the scientific paper passage that answers it\nQuery: "
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once: an expression used inside a lambda is else computed for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def strip(c: Column) -> Column:
     """White space off both ends (``trim`` takes blanks only)."""
     return F.regexp_replace(c, EDGE, "")
@@ -124,6 +130,11 @@ def has_article(text: Column, number: Column, ordinal_aware: bool = False) -> Co
     return F.regexp_like(text, F.concat(F.lit("(?iuU)Art[íi]culo\\s+"), number.cast("string"), F.lit(tail)))
 
 
+def article_numbers(text: Column) -> Column:
+    """The different article numbers that a text names, as ``has_article`` finds them."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?iuU)Art[íi]culo\\s+(\\d+)\\b"), 1))
+
+
 def article_number(source: Column) -> Column:
     """The first article number of a citation, or an empty string."""
     return F.regexp_extract(source, "Art\\.?\\s*(\\d+)", 1)

@@ -46,7 +46,7 @@ def knn(where: str = "true", on: str = "true", k: int = 10) -> str:
     return f"""
 with x as (select vec_id as id, label, embedding::double[] as e from embeddings),
 d as (select q.id as qid, x.id, greatest(0.0, round({COS}, 9)) as distance from x q join x on {on} where q.id % 100 = 0 and ({where}))
-select qid, id, rank, round(distance, 6) as distance from (select *, row_number() over (partition by qid order by distance, id) as rank from d) where rank <= {k}"""
+select qid, id, rank, distance from (select *, row_number() over (partition by qid order by distance, id) as rank from d) where rank <= {k}"""
 
 
 PAPERS = f"""
@@ -121,7 +121,7 @@ SQL: dict[str, str] = {
     "knn_filtered": knn("x.label = 3"),
     "knn_self_excluded": knn("q.id <> x.id"),
     "knn_columns": knn(),
-    "knn_single": f"with x as (select vec_id as id, embedding::double[] as e from embeddings), d as (select x.id, greatest(0.0, round({COS}, 9)) as distance from x q, x where q.id = 0) select id, round(distance, 6) as distance from d order by d.distance, id limit 3",
+    "knn_single": f"with x as (select vec_id as id, embedding::double[] as e from embeddings), d as (select x.id, greatest(0.0, round({COS}, 9)) as distance from x q, x where q.id = 0) select id, distance from d order by d.distance, id limit 3",
     "vector_norms": """
 with x as (select vec_id as id, embedding::double[] as e, list_concat([1.0::double], list_transform(range(1, 64), lambda i: 0.0::double)) as f from embeddings)
 select id, round(sqrt(list_dot_product(e, e)), 6) as norm, 1.0::double as unit_norm, round(sqrt(list_sum(list_transform(range(1, 65), lambda i: (e[i] - f[i]) * (e[i] - f[i])))), 6) as l2,
@@ -138,9 +138,8 @@ select round(avg(h / 10.0::double), 6) as recall from (select a.qid, count(b.id)
 with s as (select doc_id as id, {BLOCKS}[2:] as spans from documents where {HAS})
 select id, cast(unnest(range(0, len(spans))) as bigint) as article_no, cast(unnest(list_transform(spans, lambda b: len({words('b')}))) as bigint) as n_words from s""",
     "article_mentions": r"""
-with a as (select cast(unnest(range(1, 301, 13)) as integer) as article), t as (select regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]', 'z', 'g') as p, text from documents)
-select article, cast(coalesce(sum(regexp_matches(p, '(?i)Art[zi]culo\s+' || article || '\b')::int), 0) as bigint) as n,
-cast(coalesce(sum((regexp_matches(p, '(?i)Art[zi]culo\s+' || article || '(?:\b|[oa]\b)') or regexp_matches(text, '(?i)Art[íi]culo\s+' || article || '[ºª°]'))::int), 0) as bigint) as n_ordinal from a, t group by article""",
+with t as (select doc_id, regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]', 'z', 'g') as p from documents)
+select article, count(*) as n from (select doc_id, unnest(list_distinct(regexp_extract_all(p, '(?i)Art[zi]culo\s+(\d+)\b', 1))) as article from t) group by article""",
     "chunk_stats": "select strategy, count(*) as n_chunks, round(avg(case when text <> '' then len(string_split(text, ' ')) end), 6) as avg_words from chunk_lab group by strategy",
     "chunk_stats_of_strategy": "select count(*) as n_chunks, round(avg(case when text <> '' then len(string_split(text, ' ')) end), 6) as avg_words from chunk_lab where strategy = 'by-article'",
     "word_percentiles": f"with {LENGTHS}, q as (select list_sort(list(n)) as l from n), p as (select point::double as point from {POINTS}) select point, round(l[floor(point * (len(l) - 1))::int + 1] + (point * (len(l) - 1) - floor(point * (len(l) - 1))) * (l[least(floor(point * (len(l) - 1))::int + 2, len(l))] - l[floor(point * (len(l) - 1))::int + 1]), 6) as value from p, q",
@@ -163,7 +162,7 @@ cast(coalesce(sum((regexp_matches(p, '(?i)Art[zi]culo\s+' || article || '(?:\b|[
     "bm25_corpus": f"with {BM25} select n::bigint as n_docs, round(avgdl, 6) as avgdl from total",
     "bm25_topk": f"with {BM25} select qid, id, rank, round(score, 6) as score from lexical where rank <= 10",
     "hash_embed": f"with {DENSE} select id, cast(unnest(range(0, 64)) as bigint) as pos, round(unnest(e), 6) as value from pv",
-    "dense_topk": f"with {DENSE} select qid, id, rank, round(distance, 6) as distance from near where rank <= 10",
+    "dense_topk": f"with {DENSE} select qid, id, rank, distance from near where rank <= 10",
     "rrf_fusion": f"with {FUSED} select qid, id, rank, round(score, 9) as score from hybrid where rank <= 10",
     "weighted_sum_fusion": f"""with {FUSED},
 m as (select qid, id, 1 - distance as score, 0 as l from near where rank <= 30 union all select qid, id, score, 1 from lexical where rank <= 30),
