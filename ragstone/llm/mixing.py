@@ -52,9 +52,8 @@ def token_counter(path: str = TOKENIZER):
     return lambda text: len(enc.encode_ordinary(text))
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, path: str) -> DataFrame:
+def sized(rows: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``(id, source, tokens, quality)``; quality in [0.05, 1]: the share of letters and blanks in the text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("source is not null and id is not null")
     letters = F.try_divide(F.length(F.regexp_replace("text", "(?U)[^\\p{L} ]", "")), F.length("text"))
     rows = rows.withColumn("quality", F.greatest(F.lit(0.05), F.coalesce(letters, F.lit(0.05))))
     kind = rows.schema["id"].dataType.simpleString()
@@ -89,7 +88,8 @@ def mixed(
 ) -> tuple[DataFrame, DataFrame]:
     """``(mix, plan)``: mix is ``(id, source, tokens, repeats)`` of every record used; plan the rows of ``budgets``."""
     goals = targets.where("source is not null").select("source").distinct()
-    rows = materialize(sized(docs.join(goals.withColumnRenamed("source", "_target"), F.col(source_col) == F.col("_target"), "left_semi"), id_col, text_col, source_col, tokenizer), "mix")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).where("source is not null and id is not null")
+    rows = materialize(sized(rows.join(goals, "source", "left_semi"), tokenizer), "mix")
     plan = materialize(budgets(rows, targets, total_tokens), "mix")
     # u in (0, 1) from a hash; key = -ln(u) / quality, smaller first
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
