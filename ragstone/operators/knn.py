@@ -106,8 +106,8 @@ def knn_columns(items: DataFrame, queries: DataFrame, k: int = 10, item_id: str
     """The same as ``knn`` in column expressions only: the checkable form, for small query sets."""
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("_q"))
     x = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_vec).alias("_x"))
-    scored = x.crossJoin(q).select("qid", "id", F.round(F.greatest(F.lit(0.0), vector.cosine_distance(F.col("_q"), F.col("_x"))), DIGITS).alias("distance"))
-    return ranked(scored.where(F.col("distance").isNotNull()), k)
+    scored = x.crossJoin(q).select("qid", "id", vector.cosine_distance(F.col("_q"), F.col("_x")).alias("distance")).where(F.col("distance").isNotNull())
+    return ranked(scored.withColumn("distance", F.round(F.greatest(F.lit(0.0), "distance"), DIGITS)), k)
 
 
 # ------------------------------------------------------------------------------ approximate search

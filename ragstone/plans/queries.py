@@ -88,7 +88,8 @@ def knn_single(spark, d):
     """One question against the table: order by distance, limit k."""
     items, _ = _vectors(spark, d)
     one = items.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    scored = items.join(one, F.lit(True)).select(F.col("vec_id").alias("id"), F.round(F.greatest(F.lit(0.0), vector.cosine_distance(F.col("q"), F.col("embedding"))), 9).alias("distance"))
+    scored = items.join(one, F.lit(True)).select(F.col("vec_id").alias("id"), vector.cosine_distance(F.col("q"), F.col("embedding")).alias("distance"))
+    scored = scored.where("distance is not null").withColumn("distance", F.round(F.greatest(F.lit(0.0), "distance"), 9))
     return scored.orderBy("distance", "id").limit(3)
 
 
