@@ -295,6 +295,7 @@ def similar_vectors(
         .repartition("bin").sortWithinPartitions("bin", "kind")
     )
     floor = -2.0 if min_similarity is None else float(min_similarity) - 1e-4
+    block = 512 if min_similarity is None else 8192  # queries at a time: bounds the pairs held
 
     def rerank(batches):
         """Streams the sorted rows: a bin's rows first (bounded), then its queries in blocks."""
@@ -328,7 +329,9 @@ def similar_vectors(
                     continue
                 if state["ids"] is None:
                     state["ids"], state["x"], state["cell"] = flush(held)
-                yield from score(state, ids[lo:hi], x[lo:hi], off[lo : hi + 1], flat)
+                for b in range(lo, hi, block):
+                    e = min(hi, b + block)
+                    yield from score(state, ids[b:e], x[b:e], off[b : e + 1], flat)
 
         return
 
@@ -436,15 +439,22 @@ def exact_similar_vectors(
                         qs.setdefault(g, []).append((ids[a], x[a]))
                     if b.any() and g in qs:
                         for qi, qx in qs[g]:
-                            sim = np.minimum(1.0, qx @ x[b].T).round(6)
-                            rid = ids[b]
-                            sim[qi[:, None] == rid[None, :]] = -9
-                            n = min(k, len(rid))
-                            o = np.lexsort((np.broadcast_to(rid, sim.shape), -sim), axis=1)[:, :n]
-                            qq = np.repeat(qi, n)
-                            rr, ss = rid[o].ravel(), np.take_along_axis(sim, o, 1).ravel()
-                            ok = ss > -9
-                            yield pa.RecordBatch.from_arrays([pa.array(qq[ok]), pa.array(rr[ok]), pa.array(ss[ok])], names=["id", "neighbour_id", "similarity"])
+                            for lo in range(0, len(qi), 256):
+                                yield from best(qi[lo : lo + 256], qx[lo : lo + 256], ids[b], x[b])
+
+    def best(qi, qx, rid, rx):
+        sim = np.minimum(1.0, qx @ rx.T).round(6)
+        sim[qi[:, None] == rid[None, :]] = -9
+        n = min(k, len(rid))
+        cut = np.partition(sim, len(rid) - n, axis=1)[:, len(rid) - n]
+        q_at, r_at = np.nonzero((sim >= cut[:, None]) & (sim > -9))  # ties with the n-th included
+        v = sim[q_at, r_at]
+        o = np.lexsort((rid[r_at], -v, q_at))
+        q_at, r_at, v = q_at[o], r_at[o], v[o]
+        first = np.flatnonzero(np.r_[True, np.diff(q_at) != 0]) if len(q_at) else np.zeros(0, int)
+        place = np.arange(len(q_at)) - np.repeat(first, np.diff(np.r_[first, len(q_at)]))
+        m = place < k
+        yield pa.RecordBatch.from_arrays([pa.array(qi[q_at[m]], pa.int64()), pa.array(rid[r_at[m]], pa.int64()), pa.array(v[m], pa.float64())], names=["id", "neighbour_id", "similarity"])
 
     got = both.mapInArrow(run, "id bigint, neighbour_id bigint, similarity double")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour_id")
