@@ -127,12 +127,11 @@ def semantic(sentence_rows: DataFrame, doc_col: str, order_col: str, text_col: s
     one window; the document is the unit of parallelism.
     """
     w = Window.partitionBy(doc_col).orderBy(order_col)
-    sim = vector.dot(F.col(vec_col), F.lag(vec_col).over(w))
+    sim = F.round(vector.dot(F.col(vec_col), F.lag(vec_col).over(w)), 9)  # equal on any engine
     flagged = sentence_rows.withColumn("_break", F.coalesce((sim < threshold).cast("int"), F.lit(0)))
-    grouped = flagged.withColumn("chunk_index", F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = F.array_sort(F.collect_list(F.struct(order_col, text_col)))
-    got = grouped.groupBy(doc_col, "chunk_index").agg(rows.alias("_r"))
-    return got.select(doc_col, F.col("chunk_index").cast("int"), F.array_join(F.transform("_r", lambda r: r[text_col]), " ").alias("chunk"), F.size("_r").alias("n_sentences"))
+    grouped = flagged.select(doc_col, F.col(order_col).alias("_o"), F.col(text_col).alias("_t"), F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_chunk"))
+    got = grouped.groupBy(doc_col, "_chunk").agg(F.array_sort(F.collect_list(F.struct("_o", "_t"))).alias("_r"))
+    return got.select(doc_col, F.col("_chunk").cast("int").alias("chunk_index"), F.array_join(F.transform("_r", lambda r: r["_t"]), " ").alias("chunk"), F.size("_r").alias("n_sentences"))
 
 
 def apply_chunker(docs: DataFrame, chunker: Callable[[str], list[str]], text_col: str = "text", out: str = "chunk") -> DataFrame:

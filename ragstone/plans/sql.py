@@ -109,14 +109,42 @@ INSTRUCTION = "'Instruct: Given a question, retrieve the scientific paper passag
 
 
 def _by_article() -> str:
-    long = slide("w", 250, 25)
     return (
-        f"list_concat([], flatten(list_transform(list_filter(list_transform({BLOCKS}, lambda b: {strip('b')}), lambda b: b <> ''), "
-        f"lambda b: case when len({words('b')}) <= 250 then [b] else {slide(words('b'), 250, 25)} end)))" if long else ""
+        f"flatten(list_transform(list_filter(list_transform({BLOCKS}, lambda b: {strip('b')}), lambda b: b <> ''), "
+        f"lambda b: case when len({words('b')}) <= 250 then [b] else {slide(words('b'), 250, 25)} end))"
     )
 
 
+def _recursive(size: int, c: str = "text") -> str:
+    """Packing as a reduction: d = closed chunks, o = open sentences, n = their words, w = words of the sentence."""
+    empty = "{'d': []::varchar[], 'o': []::varchar[], 'n': 0::bigint, 'w': []::varchar[]}"
+    close = "case when a.n > 0 then list_append(a.d, array_to_string(a.o, ' ')) else a.d end"
+    made = f"list_transform({sentences(c)}, lambda s: {{'d': []::varchar[], 'o': [s], 'n': len({words('s')})::bigint, 'w': {words('s')}}})"
+    step = (
+        f"case when e.n > {size} then {{'d': list_concat({close}, {slide('e.w', size, 0)}), 'o': []::varchar[], 'n': 0::bigint, 'w': []::varchar[]}} "
+        f"when a.n + e.n > {size} then {{'d': {close}, 'o': e.o, 'n': e.n, 'w': []::varchar[]}} "
+        f"else {{'d': a.d, 'o': list_concat(a.o, e.o), 'n': a.n + e.n, 'w': []::varchar[]}} end"
+    )
+    packed = f"list_reduce({made}, lambda a, e: {step}, {empty})"
+    return f"list_transform([{packed}], lambda a: {close})[1]"
+
+
+_ARTICLES = f"case when {HAS} then {_by_article()} else {slide(words('text'), 250, 25)} end"
+_STRATEGY = "select '{name}' as strategy, unnest({chunks}) as chunk from documents where text is not null"
+STRATEGIES = " union all ".join(_STRATEGY.format(name=n, chunks=c) for n, c in (
+    ("fixed-150/25", slide(words("text"), 150, 25)), ("fixed-400/40", slide(words("text"), 400, 40)), ("recursive-150", _recursive(150)), ("by-article", _ARTICLES)))
+
 SQL: dict[str, str] = {
+    "chunk_recursive": exploded(_recursive(40)),
+    "chunk_strategies": f"select strategy, count(*) as n_chunks, round(avg(case when chunk <> '' then len(string_split(chunk, ' ')) end), 6) as avg_words from ({STRATEGIES}) group by strategy",
+    "chunk_semantic": f"""
+with c as (select doc_id, {sentences('text')} as ss from documents where text is not null),
+s as (select doc_id, unnest(range(0, len(ss))) as i, unnest(ss) as s from c),
+h as (select doc_id, i, s, {hashed(tokens('s'))} as v from s),
+u as (select doc_id, i, s, case when v is null then list_transform(range(0, 64), lambda k: 0::double) else list_transform(v, lambda y: (y / sqrt(list_dot_product(v, v)))::float::double) end as e from h),
+b as (select doc_id, i, s, coalesce((round(list_dot_product(e, lag(e) over w), 9) < 0.5)::int, 0) as brk from u window w as (partition by doc_id order by i)),
+g as (select doc_id, i, s, sum(brk) over (partition by doc_id order by i) as chunk_index from b)
+select doc_id, chunk_index::bigint as chunk_index, count(*) as n_sentences, md5(string_agg(s, ' ' order by i)) as chunk_md5 from g group by doc_id, chunk_index""",
     "knn_exact": knn(),
     "knn_filtered": knn("x.label = 3"),
     "knn_self_excluded": knn("q.id <> x.id"),
@@ -133,7 +161,7 @@ select round(avg(h / 10.0::double), 6) as recall from (select a.qid, count(b.id)
     "chunk_fixed_small": exploded(slide(words("text"), 40, 10)),
     "chunk_sentence": exploded(sentences("text")),
     "chunk_sentence_groups": exploded(slide(sentences("text"), 3, 1)),
-    "chunk_by_article": exploded(f"case when {HAS} then {_by_article()} else {slide(words('text'), 250, 25)} end"),
+    "chunk_by_article": exploded(_ARTICLES),
     "article_words": f"""
 with s as (select doc_id as id, {BLOCKS}[2:] as spans from documents where {HAS})
 select id, cast(unnest(range(0, len(spans))) as bigint) as article_no, cast(unnest(list_transform(spans, lambda b: len({words('b')}))) as bigint) as n_words from s""",

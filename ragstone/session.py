@@ -57,6 +57,12 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of the shared folder; frames that were built on them must not be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _is_stars(e: DataFrame) -> bool:
     """Every node hangs on one root, and no root hangs on another."""
     twice = e.groupBy("u").count().where("count > 1").select("u")

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from ragstone.session import materialize, shared_dir
+from ragstone.session import clear_scratch, materialize, shared_dir
 from ragstone.sources import files, generators, sinks
 from ragstone.streaming import ingest
 
@@ -112,6 +112,8 @@ def test_generators(spark):
 def test_shared_folder_follows_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert materialize(spark.range(3)).count() == 3
+    clear_scratch(spark)
+    assert materialize(spark.range(4)).count() == 4
 
 
 def test_streaming_ingest(spark, tmp_path):
