@@ -169,7 +169,7 @@ def _walk_many(d1, d2, counts, want, stairs, pops):
     pop = counts[cells]
     upto = np.cumsum(pop, axis=1)
     use = (upto - pop < want) & (pop > 0)
-    short = np.flatnonzero(upto[:, -1] < want)
+    short = np.flatnonzero(upto[:, -1] < want) if pops < d1.shape[1] * d2.shape[1] else []
     use[short] = False
     query, place = np.nonzero(use)
     flat = cells[query, place]
@@ -235,13 +235,12 @@ def similar_vectors(
                     at, fill = at + 1, 0
                 f[cell], fill = at, fill + m
         counts[g], first_bin[g], parts[g] = n, f, p
-    pops = int(min(k1 * k2, max(64, 2 * want * k1 * k2 / max(1, rows))))
-    stairs = _stairs(k1, k2, pops)
     tables = spark.sparkContext.broadcast((counts, first_bin, parts))
 
     def place(batches):
         """Rows to their bin (kind 0), queries to every bin they visit (kind 1, with the cells there)."""
         counts, first_bin, parts = tables.value
+        stairs_of: dict[str, tuple] = {}  # by group: a small group takes more pops for as many rows
         for t in batches:
             ids, cells = t.column("id").to_numpy(), t.column("cell").to_numpy()
             asks = np.array(t.column("asks").to_pylist(), dtype=bool)
@@ -251,6 +250,9 @@ def similar_vectors(
             for g in set(groups):
                 rows_g = np.array([r for r, x in enumerate(groups) if x == g])
                 f, p = first_bin[g], parts[g]
+                if g not in stairs_of:
+                    pops = int(min(k1 * k2, max(64, 2 * want * k1 * k2 / counts[g].sum())))
+                    stairs_of[g] = (_stairs(k1, k2, pops), pops)
                 take.append(rows_g)
                 bins.append(f[cells[rows_g]] + ids[rows_g] % p[cells[rows_g]])
                 kinds.append(np.zeros(len(rows_g), np.int8))
@@ -260,7 +262,7 @@ def similar_vectors(
                 for lo in range(0, len(ask), 256):
                     block = ask[lo : lo + 256]
                     d1, d2 = _nearest(raw[block, :half], c1), _nearest(raw[block, half:], c2)
-                    who, cell = _walk_many(d1, d2, counts[g], want, stairs, pops)
+                    who, cell = _walk_many(d1, d2, counts[g], want, *stairs_of[g])
                     split = p[cell]  # all bins of a split cell
                     if (split > 1).any():
                         inner = np.arange(split.sum()) - np.repeat(np.cumsum(split) - split, split)
@@ -268,8 +270,8 @@ def similar_vectors(
                         to = f[cell] + inner
                     else:
                         to = f[cell]
-                    o = np.lexsort((cell, to, who))
-                    who, cell, to = who[o], cell[o], to[o]
+                    packed = np.sort((who << 48) | (to << 20) | cell)  # 256 queries, 2^28 bins, 2^20 cells
+                    who, to, cell = packed >> 48, (packed >> 20) & 0xFFFFFFF, packed & 0xFFFFF
                     first = np.flatnonzero(np.r_[True, (np.diff(who) != 0) | (np.diff(to) != 0)])
                     take.append(block[who[first]])
                     bins.append(to[first])
