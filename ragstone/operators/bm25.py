@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragstone.functions.text import tokens
+from ragstone.session import materialize
 
 
 class BM25:
@@ -19,7 +20,8 @@ class BM25:
 
     def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = 1.5, b: float = 0.75):
         self.k1, self.b = k1, b
-        self.docs = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
+        # tokenised once: statistics and postings read the same table
+        self.docs = materialize(docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("terms")), "bm25")
         self.lengths = self.docs.select("id", F.size("terms").alias("dl"))
 
     def postings(self) -> DataFrame:

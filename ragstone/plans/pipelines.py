@@ -13,6 +13,7 @@ from ragstone.operators import evaluation as ev
 from ragstone.operators.bm25 import BM25
 from ragstone.operators.fusion import collapse, rrf
 from ragstone.operators.knn import knn
+from ragstone.session import materialize
 
 
 def ingest(docs: DataFrame, chunker: Callable[[Column], Column], clean: bool = True, embedding: Callable[[Column], Column] = hash_embedding,
@@ -28,7 +29,7 @@ def ingest(docs: DataFrame, chunker: Callable[[Column], Column], clean: bool = T
 
 def dense(chunks: DataFrame, queries: DataFrame, k: int, embedding: Callable[[Column], Column] = hash_embedding) -> DataFrame:
     """``(qid, id, rank, distance)`` for ``chunks (id, embedding)`` and ``queries (qid, query)``."""
-    asked = queries.select("qid", embedding(F.col("query")).alias("embedding"))
+    asked = materialize(queries.select("qid", embedding(F.col("query")).alias("embedding")), "asked")  # embedded once
     return knn(chunks, asked, k)
 
 

@@ -37,7 +37,12 @@ def paper(source) -> F.Column:
 
 def papers(spark: SparkSession, d: str) -> DataFrame:
     rows = read_table(spark, d, "ram_rag").select("id", paper(F.col("source")).alias("source"), "text")
-    return spread(rows).withColumn("embedding", hash_embedding(F.col("text")))
+    return spread(rows)
+
+
+def store(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk store: papers with their embeddings, written once and read by the searches."""
+    return materialize(papers(spark, d).withColumn("embedding", hash_embedding(F.col("text"))), "store")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -317,16 +322,16 @@ def bm25_topk(spark, d):
 
 @query
 def hash_embed(spark, d):
-    return papers(spark, d).select("id", F.posexplode("embedding").alias("pos", "value")).select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value"))
+    return store(spark, d).select("id", F.posexplode("embedding").alias("pos", "value")).select("id", F.col("pos").cast("long").alias("pos"), F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @query
 def dense_topk(spark, d):
-    return pipelines.dense(papers(spark, d), questions(spark, d), 10)
+    return pipelines.dense(store(spark, d), questions(spark, d), 10)
 
 
 def _both(spark, d, depth=30):
-    chunks, asked = papers(spark, d), questions(spark, d)
+    chunks, asked = store(spark, d), questions(spark, d)
     return chunks, asked, materialize(pipelines.dense(chunks, asked, depth), "rank"), materialize(BM25(chunks).top_k(asked, depth), "rank")
 
 
@@ -405,20 +410,20 @@ def gold_counts(spark, d):
 
 @query
 def ablation(spark, d):
-    raw = papers(spark, d).where("text is not null and embedding is not null").select("id", "text", "embedding")
+    raw = store(spark, d).where("text is not null and embedding is not null").select("id", "text", "embedding")
     raw = materialize(raw.withColumn("is_ref", text.is_reference_chunk(F.col("text"))), "rank")
     return pipelines.ablation({("hash-64", False): raw.drop("is_ref"), ("hash-64", True): raw.where("not is_ref").drop("is_ref")}, questions(spark, d))
 
 
 @query
 def bake_off(spark, d):
-    return pipelines.bake_off(papers(spark, d).where("source is not null"), questions(spark, d).where("gold is not null"), "hash-64", 64)
+    return pipelines.bake_off(store(spark, d).where("source is not null"), questions(spark, d).where("gold is not null"), "hash-64", 64)
 
 
 @query
 def abstention(spark, d):
     """Retrieval gating: questions whose nearest chunk is farther than a threshold are not answered."""
-    top = pipelines.dense(papers(spark, d), questions(spark, d), 1)
+    top = pipelines.dense(store(spark, d), questions(spark, d), 1)
     return top.select("qid", (F.round("distance", 6) > 0.5).alias("abstain"))
 
 
