@@ -63,7 +63,7 @@ class BM25:
         """``(qid, id, rank, score)``, score rounded to 9 decimals for the order, ties by id, filled up with zero scores."""
         got = self.scores(queries, query_id, query_col).withColumn("score", F.round("score", 9))
         w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-        best = got.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+        best = materialize(got.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r"), "bm25")  # read three times below
         short = queries.select(F.col(query_id).alias("qid")).join(best.groupBy("qid").agg(F.count("*").alias("n")), "qid", "left").where(F.coalesce("n", F.lit(0)) < k).select("qid")
         first = self.lengths.select("id").orderBy("id").limit(k)  # at most k ids can be missing
         fill = short.join(F.broadcast(first), F.lit(True)).join(best.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("score", F.lit(0.0))
