@@ -1,10 +1,11 @@
-"""Per-document text quality statistics and their distribution tails.
+"""Per-document text quality statistics, their distributions, and the rows that are not prose.
 
 Statistics are column expressions (no Python rows). Per language, each
 statistic's distribution is held in a mergeable quantile sketch (KLL, built with
 map-side partial aggregation), so values become percentiles and robust z-scores
-against a few kilobytes of state whatever the number of documents. Documents in
-the lower tail of the share of running sentences, are not prose.
+against a few kilobytes of state whatever the number of documents. Documents
+with less than half of their signs in running sentences are not prose; this
+border is fixed, so it does not move with the share of junk in a language.
 
 Defined results
 ---------------
@@ -127,13 +128,12 @@ def _at_most(column: str):
 
 
 def quality(
-    df: DataFrame, common: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "source", tail: float = 5.0,
+    df: DataFrame, common: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "source", least: float = 0.5,
 ) -> DataFrame:
     """``(id, source, text_lang, statistics, pct_<stat>, z_<stat>, not_prose)`` of every row.
 
-    ``not_prose``: the share of running sentences is at least ``tail`` robust
-    standard deviations under the language's median (with the floor of 0.1 and a
-    median of 1: half of the text).
+    ``not_prose``: the share of running sentences is under ``least``, whatever the
+    distribution of the language is.
     """
     lists = word_lists(common)
     base = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
@@ -145,7 +145,7 @@ def quality(
     return joined.select(
         "id", "source", "text_lang", *STATS,
         *[F.round(pct[s], 4).alias(f"pct_{s}") for s in STATS], *[F.round(z[s], 4).alias(f"z_{s}") for s in STATS],
-        F.coalesce((F.col("n_words") > 0) & (z["running_share"] < -tail), F.lit(False)).alias("not_prose"),
+        F.coalesce((F.col("n_words") > 0) & (F.col("running_share") < least), F.lit(False)).alias("not_prose"),
     )
 
 

@@ -158,6 +158,17 @@ def test_quality_flags_and_statistics(spark):
     assert quality.quality_by_source(df, common(spark)).count() == 2
 
 
+def test_quality_flags_junk_whatever_its_share(spark):
+    """40 % junk in a language widens its spread; rows of no language are judged too."""
+    prose = [(i, "s", f"{PROSE} {PROSE}", "m", None) for i in range(60)]
+    junk = [(100 + i, "s", "\n".join(f"- the valve {i} {j}" for j in range(12)), "m", None) for i in range(40)]
+    und = [(200 + i, "s", f"QX-{i} 77 | 12 | 0.{i}", "m", None) for i in range(20)]
+    got = quality.quality(naive(spark, prose + junk + und), common(spark)).collect()
+    lang = {r["id"]: r["text_lang"] for r in got}
+    assert {lang[i] for i in range(100, 140)} == {"en"} and {lang[i] for i in range(200, 220)} == {"und"}
+    assert {r["id"] for r in got if r["not_prose"]} == {r[0] for r in junk + und}
+
+
 def test_quality_wrapped_and_long_text(spark):
     wrapped = PROSE.replace(" ", "\n", 30).replace("\n", " ", 5)
     df = naive(spark, [(1, "s", wrapped, "m", None), (2, "s", (PROSE + " ") * 2000, "m", None), (3, "s", "x" * 300_000, "m", None)])
