@@ -5,9 +5,10 @@ clustered by locality-sensitive hashing of their word shingles, and the clusters
 found in too many documents are removed.
 
 Spark plan: lines are exploded and masked in the JVM; one Arrow pass hashes the
-masked lines; a bucket is a star around its smallest line (an aggregation with
-map-side combine, then a join), so a line that stands in a third of all
-documents is folded before any shuffle and no bucket is gathered in a task.
+masked lines; the distinct masks of a bucket (an aggregation with map-side
+combine, so a line that stands in a third of all documents is folded before any
+shuffle) are all compared, in blocks of about ``BLOCK`` masks. Pairs that are
+linked already are skipped, which leaves the components as they are.
 
 Defined results
 ---------------
@@ -43,6 +44,7 @@ MONTHS = (
     "enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre"
 )
 BANDS, BAND_ROWS = 6, 3
+BLOCK = 256
 _DIGITS = re.compile("[0-9]+")
 _MONTH = re.compile(rf"\b(?:{MONTHS})\b")
 _NAME = re.compile(r"(?<=[^.!?] )[^\W\d_a-zà-öø-ÿ][\w'-]*(?: [^\W\d_a-zà-öø-ÿ][\w'-]*)*")
@@ -113,24 +115,59 @@ def _lines(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFr
     return spread(base).mapInArrow(run, "id bigint, line_no bigint, line_key bigint, mask_key bigint, mask string, keys array<bigint>")
 
 
-def _alike(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``(a, b)`` of mask keys whose shingle sets reach the similarity."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("mask_key")).distinct()
+def _links(held: list[tuple[int, int, str]], within: bool, similarity: float) -> list[tuple[int, int]]:
+    """Links ``(a, b)`` of ``(mask key, block, mask)`` that join what all pairs of enough similarity join.
+
+    ``within``: all pairs are compared, else those of different blocks.
+    """
+    sets = [_shingles(text) for _, _, text in held]
+    root, links = list(range(len(held))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, p in enumerate(sets):
+        for j in range(i):
+            q = sets[j]
+            if not within and held[i][1] == held[j][1] or min(len(p), len(q)) < similarity * max(len(p), len(q)) or find(i) == find(j):
+                continue
+            both = len(p & q)
+            if both >= similarity * (len(p) + len(q) - both):
+                root[find(i)] = find(j)
+                links.append((held[j][0], held[i][0]))
+    return links
+
+
+def _alike(bands: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` of mask keys that share a bucket and whose shingle sets reach the similarity, of every bucket."""
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    members = bands.join(sizes, "bucket").select("bucket", "mask_key", blocks.alias("blocks"), F.pmod(F.xxhash64("mask_key"), blocks).alias("block"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    members = members.select("bucket", "mask_key", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    need = bands.join(sizes, "bucket", "left_semi").select("mask_key").distinct()
     texts = lines.where("mask is not null").select("mask_key", "mask").join(need, "mask_key", "left_semi").groupBy("mask_key").agg(F.min("mask").alias("mask"))
-    wide = (
-        pairs.join(texts.select(F.col("mask_key").alias("a"), F.col("mask").alias("ta")), "a")
-        .join(texts.select(F.col("mask_key").alias("b"), F.col("mask").alias("tb")), "b")
-    )
+    wide = members.join(texts, "mask_key").select("bucket", "lo", "hi", "mask_key", "block", "mask")
+    names = ["bucket", "lo", "hi", "mask_key", "block", "mask"]
 
     def run(batches):
+        at, held = None, []
+        pack = lambda got: pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], names=["a", "b"])
         for t in batches:
-            ok = []
-            for x, y in zip(t.column("ta").to_pylist(), t.column("tb").to_pylist()):
-                p, q = _shingles(x), _shingles(y)
-                ok.append(len(p & q) >= similarity * len(p | q))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            got = []
+            for bucket, lo, hi, key, block, mask in zip(*[t.column(c).to_pylist() for c in names]):
+                if (bucket, lo, hi) != at:
+                    if at is not None:
+                        got += _links(held, at[1] == at[2], similarity)
+                    at, held = (bucket, lo, hi), []
+                held.append((key, block, mask))
+            yield pack(got)
+        if at is not None:
+            yield pack(_links(held, at[1] == at[2], similarity))
 
-    return wide.mapInArrow(run, "a bigint, b bigint")
+    return wide.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "mask_key").mapInArrow(run, "a bigint, b bigint")
 
 
 def repeated_lines(
@@ -138,10 +175,8 @@ def repeated_lines(
 ) -> DataFrame:
     """``(id, line_no, line_key, cluster, cluster_rows)`` of every line whose cluster stands in ``min_rows`` documents of its source."""
     keys = materialize(_lines(df, id_col, text_col, source_col), "lines")
-    bands = keys.where("mask is not null").select("mask_key", F.explode("keys").alias("bucket"))
-    stars = bands.groupBy("bucket").agg(F.min("mask_key").alias("a"), F.max("mask_key").alias("z")).where("a < z").select("bucket", "a")
-    near = bands.join(stars, "bucket").where("a <> mask_key").select("a", F.col("mask_key").alias("b")).distinct()
-    near = _alike(materialize(near, "lines"), keys, similarity)
+    bands = materialize(keys.where("mask is not null").select("mask_key", F.explode("keys").alias("bucket")).distinct(), "lines")
+    near = _alike(bands, keys, similarity)
     masks = keys.groupBy("line_key").agg(F.min("mask_key").alias("a"), F.max("mask_key").alias("z")).where("a < z").select("line_key", "a")
     same = keys.join(masks, "line_key").where("a <> mask_key").select("a", F.col("mask_key").alias("b")).distinct()
     parts = materialize(connected_components(near.unionByName(same)), "lines")
