@@ -8,8 +8,8 @@ there which the fitted density does not explain. This posterior is combined, as
 log odds, with the evidence of the ending.
 
 Spark plan: one narrow pass of column expressions; per source only the
-histogram of lengths is gathered (aggregated before the shuffle, at most
-``HIST`` lengths in bins), never texts. Endings are weighed in the JVM.
+histogram of exact lengths is gathered (aggregated before the shuffle, a row per
+distinct length), never texts. Endings are weighed in the JVM.
 
 Defined results
 ---------------
@@ -28,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIST = 20_000
 # Closing phrases that end a complete text with an ellipsis.
 OPEN_PHRASES = ("and so on", "and so forth", "et cetera", "etc", "y así sucesivamente", "etcétera", "entre otros", "among others", "to be continued")
 END = "(?U)[.!?。！？]['\"”’»)\\]]*$"
@@ -150,9 +149,8 @@ def field_limits(texts: DataFrame, slack: int = 4) -> DataFrame:
         F.struct(F.lit("chars").alias("unit"), F.length("text").cast("long").alias("n")),
         F.struct(F.lit("bytes").alias("unit"), F.octet_length("text").cast("long").alias("n")),
     )).alias("s")).select("src", "s.unit", "s.n").where("n > 0")
-    # exact lengths up to HIST, then bins of a thousandth: a bounded histogram for any text
-    binned = F.when(F.col("n") <= HIST, F.col("n")).otherwise(F.round(F.exp(F.round(F.log("n"), 3))).cast("long"))
-    hist = sized.groupBy("src", "unit", binned.alias("n")).agg(F.count("*").alias("c"))
+    # exact lengths: a limit is joined with the lengths of the texts by equality
+    hist = sized.groupBy("src", "unit", "n").agg(F.count("*").alias("c"))
 
     def fit(t: pa.Table) -> pa.Table:
         src, unit = t.column("src")[0].as_py(), t.column("unit")[0].as_py()

@@ -449,6 +449,25 @@ def test_truncation(spark):
     assert truncation.truncated_rows(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_truncation_at_limits_of_long_texts(spark):
+    """Cut in a list item: the ending alone says complete, only the limit of 32,767 signs or 65,535 bytes tells."""
+    rng = random.Random(6)
+    rows, want = [], set()
+    for source, extra, cut in (("chars", "", lambda t: t[:32_767]), ("bytes", " Mañana será más.", lambda t: t.encode()[:65_535].decode(errors="ignore"))):
+        for i in range(60):
+            k = len(rows) + 1
+            if i < 30:
+                rows.append((k, " ".join([PROSE + extra * rng.randrange(3)] * rng.randrange(40, 220)), source))
+            else:
+                body = "".join(PROSE + extra * rng.randrange(3) + " " for _ in range(800))
+                size = (32_000 if source == "chars" else 60_000) + rng.randrange(400)
+                rows.append((k, cut(body.encode()[:size].decode(errors="ignore") + "\n- the seal" + " of the valve" * 600), source))
+                want.add(k)
+    got = truncation.truncation(docs(spark, rows)).collect()
+    assert {r["doc_id"] for r in got if r["truncated"]} == want
+    assert {r["evidence"] for r in got if r["doc_id"] in want} == {-3}
+
+
 def test_censored_fit_recovers_parameters():
     rng = np.random.default_rng(0)
     x = np.minimum(np.exp(rng.normal(6.5, 0.6, 20_000)), 900).round()
