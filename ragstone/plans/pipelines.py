@@ -33,16 +33,20 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, embedding: Callable[[Co
     return knn(chunks, asked, k)
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 3, depth: int = 30, rrf_k: int = 60) -> dict[str, DataFrame]:
-    """The three rankings of the first ``k`` chunks: lexical, dense, fused. ``chunks (id, text, embedding)``."""
-    lexical = BM25(chunks).top_k(queries, depth)
-    near = dense(chunks, queries, depth)
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int | None = 3, depth: int | None = None, rrf_k: int = 60) -> dict[str, DataFrame]:
+    """The three rankings of the first ``k`` chunks (None: of all): lexical, dense, fused. ``chunks (id, text, embedding)``.
+
+    Fusion sees every chunk in both lists, as the reference does, unless ``depth`` cuts them.
+    """
+    index = BM25(chunks)
+    lexical = index.top_k(queries, depth) if depth else index.rank_all(queries)
+    near = dense(chunks, queries, depth or max(1, chunks.count()))
     fused = rrf([near, lexical], rrf_k, k)
-    cut = lambda df: df.where(F.col("rank") <= k).select("qid", "id", "rank")
+    cut = lambda df: (df.where(F.col("rank") <= k) if k else df).select("qid", "id", "rank")
     return {"bm25": cut(lexical), "dense": cut(near), "hybrid": fused.select("qid", "id", "rank")}
 
 
-def evaluate(chunks: DataFrame, queries: DataFrame, owner: str = "source", depth: int = 30, rrf_k: int = 60, by_group: bool = True) -> DataFrame:
+def evaluate(chunks: DataFrame, queries: DataFrame, owner: str = "source", depth: int | None = None, rrf_k: int = 60, by_group: bool = True) -> DataFrame:
     """``(retriever, grp, hit_at_1, hit_at_3, mrr)``: all retrievers in one relation, ranked by owner, scored in one aggregation."""
     rankings = retrieve(chunks, queries, depth, depth, rrf_k)
     owners = chunks.select("id", owner)

@@ -176,6 +176,18 @@ def test_pipeline_evaluates_three_retrievers(spark):
     assert ab["n_chunks"] == 3 and ab["ref_noise"] == 0
 
 
+def test_pipeline_ranks_all_chunks(spark):
+    """The gold paper shares no term and is the last of 40 chunks: its rank counts, it is not cut off."""
+    docs = spark.createDataFrame([(i, f"s{i}", "pump " * (i % 5 + 1) + f"valve{i}") for i in range(1, 40)] + [(40, "gold", "omega")], "id bigint, source string, text string")
+    chunks = pipelines.ingest(docs, lambda c: F.array(c), clean=False)
+    q = spark.createDataFrame([(1, "pump", "gold", "exact")], "qid bigint, query string, gold string, grp string")
+    got = {r["retriever"]: r["mrr"] for r in pipelines.evaluate(chunks, q, by_group=False).collect()}
+    assert math.isclose(got["bm25"], 1 / 40, abs_tol=1e-6) and len(got) == 3 and min(got.values()) > 0
+    assert {n: r.count() for n, r in pipelines.retrieve(chunks, q, k=None).items()} == {"bm25": 40, "dense": 40, "hybrid": 40}
+    cut = {r["retriever"]: r["mrr"] for r in pipelines.evaluate(chunks, q, depth=30, by_group=False).collect()}
+    assert cut["bm25"] == 0
+
+
 @pytest.mark.parametrize("seed", [0, 1])
 def test_connected_components(spark, seed):
     rng = random.Random(seed)
