@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ragstone.functions.text import bound
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,8 +18,7 @@ def norm(a: Column) -> Column:
 
 def l2_normalise(a: Column) -> Column:
     """The unit vector; null for a zero vector."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float")))
+    return bound(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n).cast("float"))))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

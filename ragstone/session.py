@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +23,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder. Only an unset one (tests, laptops) gets a local folder."""
+    """The shared scratch folder. Where none is named, a local folder serves a local session; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = have.get() if have.isDefined() else None
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ragstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -34,15 +39,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt out anew only if it comes in fewer splits than the cluster has cores.
+def hadoop_path(spark: SparkSession, path: str):
+    """``(file system, path)`` of a Hadoop path string."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan (with narrow steps on it), dealt out anew only if its files make fewer splits than half the cores.
 
     A large input has many splits and passes through untouched; one small file
-    in front of an expensive Python step would otherwise keep a single core busy.
+    in front of an expensive Python step would otherwise keep a single core
+    busy. Splits are reckoned from the file sizes: nothing is run. Frames that
+    read no file pass through.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits * 2 > cores else df.repartition(cores)
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = scan.inputFiles()
+    if not files or len(files) * 2 > cores:
+        return scan
+    conf = spark._jsparkSession.sessionState().conf()
+    sizes = [fs.getFileStatus(p).getLen() for fs, p in (hadoop_path(spark, f) for f in files)]
+    opening = conf.filesOpenCostInBytes()
+    split = min(conf.filesMaxPartitionBytes(), max(opening, (sum(sizes) + opening * len(sizes)) // cores))
+    splits = sum(max(1, -(-n // split)) for n in sizes)
+    return scan if splits * 2 > cores else scan.repartition(cores)
+
+
+def _scratch(spark: SparkSession) -> str:
+    """This application's scratch folder; it is deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}"
+    fs, p = hadoop_path(spark, path)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return path
+
+
+_SCOPES: list[list[str]] = []
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
@@ -52,15 +86,29 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     statistics for the joins that follow.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables written inside the ``with``; results must be written or counted before it ends."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            fs, p = hadoop_path(spark, path)
+            fs.delete(p, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of the shared folder; frames that were built on them must not be used any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all scratch tables of this application; frames that were built on them must not be used any more."""
+    fs, p = hadoop_path(spark, _scratch(spark))
+    fs.delete(p, True)
 
 
 def _is_stars(e: DataFrame) -> bool:
