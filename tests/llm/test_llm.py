@@ -424,12 +424,18 @@ def test_mixing_buckets_agree_with_one_sort(spark, monkeypatch):
 # ------------------------------------------------------------------ 8
 
 
+def sentence(rng):
+    nouns = "pump valve hall seal motor panel filter belt sensor lamp relay shaft".split()
+    n = [rng.choice(nouns) for _ in range(4)]
+    return f"{rng.choice(['The', 'A', 'Each', 'Every'])} {n[0]} of the {n[1]} was {rng.choice(['stopped', 'kept', 'opened', 'checked'])} {rng.randrange(90)} times by the {n[2]} in the {n[3]}."
+
+
 def test_truncation(spark):
     rng = random.Random(4)
     rows, want, k = [], set(), 0
-    for i in range(300):
+    for i in range(600):
         k += 1
-        t = " ".join([PROSE] * rng.randrange(2, 20)) + rng.choice(["", "\n\n## The valve", "\n- the seal", "\nRef: QX-12/3", "\nKeywords: pump, valve", "\n(see the note by Ann)", "\n-- The Orin desk", " And so on…"])
+        t = " ".join(sentence(rng) for _ in range(rng.randrange(2, 30))) + rng.choice(["", "\n\n## The valve", f"\n- the seal {i}", f"\nRef: QX-{i}/3", "\nKeywords: pump, valve", "\n(see the note by Ann)", "\n-- The Orin desk", " And so on…"])
         if len(t) > 1000:
             cut = t[:1000]
             if not cut.rstrip().endswith("."):
@@ -445,7 +451,7 @@ def test_truncation(spark):
     got = {r["doc_id"] for r in truncation.truncated_rows(docs(spark, rows)).collect()}
     assert got == want
     share = {r["source"]: r for r in truncation.truncation_by_source(docs(spark, rows)).collect()}
-    assert share["limited"]["rows"] == 300 and share[None]["truncated_rows"] == 5
+    assert share["limited"]["rows"] == 600 and share[None]["truncated_rows"] == 5
     assert truncation.truncated_rows(docs(spark, rows).limit(0)).count() == 0
 
 
@@ -463,9 +469,11 @@ def test_truncation_at_limits_of_long_texts(spark):
                 size = (32_000 if source == "chars" else 60_000) + rng.randrange(400)
                 rows.append((k, cut(body.encode()[:size].decode(errors="ignore") + "\n- the seal" + " of the valve" * 600), source))
                 want.add(k)
-    got = truncation.truncation(docs(spark, rows)).collect()
+    # the same ending away from the limits is not a cut; seen there, it speaks against one
+    away = [(k + 1000, " ".join([PROSE] * (20 + k)) + "\n- the seal" + " of the valve" * (600 + k), "chars") for k in range(20)]
+    got = truncation.truncation(docs(spark, rows + away)).collect()
     assert {r["doc_id"] for r in got if r["truncated"]} == want
-    assert {r["evidence"] for r in got if r["doc_id"] in want} == {-3}
+    assert all(r["evidence"] < 0 and r["posterior"] > 0.9 for r in got if r["doc_id"] in want) and all(r["posterior"] == 0 for r in got if r["doc_id"] >= 1000)
 
 
 def test_censored_fit_recovers_parameters():
