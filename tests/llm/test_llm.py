@@ -169,6 +169,22 @@ def test_quality_flags_junk_whatever_its_share(spark):
     assert {r["id"] for r in got if r["not_prose"]} == {r[0] for r in junk + und}
 
 
+def test_quality_cuts_move_with_the_distribution(spark):
+    """A sentence poor in common words is a sentence where all are, and none where they are rich in them."""
+    rng = random.Random(8)
+    noun = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+
+    def text(every):
+        return " ".join(" ".join("The" if w == 0 else "the" if w % every == 0 else noun() for w in range(rng.randrange(16, 24))) + "." for _ in range(6))
+
+    case = (999, "s", text(12), "m", None)
+    flags = {}
+    for every in (3, 7):
+        df = naive(spark, [(i, "s", text(every), "m", None) for i in range(60)] + [case])
+        flags[every] = {r["id"] for r in quality.judged(df, common(spark)).where("not_prose").collect()}
+    assert flags == {3: {999}, 7: set()}
+
+
 def test_quality_wrapped_and_long_text(spark):
     wrapped = PROSE.replace(" ", "\n", 30).replace("\n", " ", 5)
     df = naive(spark, [(1, "s", wrapped, "m", None), (2, "s", (PROSE + " ") * 2000, "m", None), (3, "s", "x" * 300_000, "m", None)])
