@@ -150,11 +150,11 @@ def tail_score(u: Column) -> Column:
 
 
 def judged(
-    df: DataFrame, common: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "source", least: float = 0.5, tail: float = TAIL,
+    df: DataFrame, common: DataFrame, id_col: str = "id", text_col: str = "text", source_col: str = "source", least: float = 0.5, tail: float = TAIL, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``(id, source, text_lang, statistics, not_prose)`` of every row."""
+    """``(id, source, *keep, text_lang, statistics, not_prose)`` of every row; ``keep`` names columns that come along."""
     lists = word_lists(common)
-    base = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
+    base = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), *keep, F.col(text_col).alias("text"))
     stats = materialize(with_statistics(spread(base), lists).drop("text"), "quality")
     points = sentence_points(stats)
     own = points.select(F.col("ref_lang").alias("judged_by"), *[c for c in points.columns if c != "ref_lang"])
@@ -164,7 +164,7 @@ def judged(
     running = F.aggregate(F.filter("units", lambda u: tail_score(u) <= tail), F.lit(0).cast("long"), lambda a, u: a + u["signs"])
     signs = F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + u["signs"])
     rows = rows.withColumn("running_share", F.when(F.col("n_words") > 0, F.coalesce(F.try_divide(running, signs), F.lit(0.0))))
-    return rows.select("id", "source", "text_lang", *STATS, F.coalesce((F.col("n_words") > 0) & (F.col("running_share") < least), F.lit(False)).alias("not_prose"))
+    return rows.select("id", "source", *keep, "text_lang", *STATS, F.coalesce((F.col("n_words") > 0) & (F.col("running_share") < least), F.lit(False)).alias("not_prose"))
 
 
 # ---------------------------------------------------------------------------- documents

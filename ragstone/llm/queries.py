@@ -75,15 +75,15 @@ def p6_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.unreachable_sources(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return mixing.unreachable_sources(*(read_table(spark, sf_dir, t) for t in ("documents", "mix_targets", "common_words")))
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_records(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_records(*(read_table(spark, sf_dir, t) for t in ("documents", "mix_targets", "common_words")))
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_shares(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+    return mixing.mix_shares(*(read_table(spark, sf_dir, t) for t in ("documents", "mix_targets", "common_words")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

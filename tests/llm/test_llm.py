@@ -416,27 +416,48 @@ def test_mixing(spark):
     df = docs(spark, rows)
     size = {s: sum(count(t or "") for _, t, x in rows if x == s) for s in ("big", "small")}
     total = sum(size.values())
-    got = {r["source"]: r for r in mixing.mix_shares(df, targets).collect()}
+    got = {r["source"]: r for r in mixing.mix_shares(df, targets, common(spark)).collect()}
     assert set(got) == {"big", "small", "none"} and got["big"]["size"] == size["big"] and got["none"]["used_tokens"] == 0
     assert got["big"]["reachable"] and not got["small"]["reachable"] and not got["none"]["reachable"]
     assert 0 <= got["big"]["used_tokens"] - 0.5 * total < count(PROSE) and got["small"]["used_tokens"] == 3 * size["small"]
-    mix = {r["doc_id"]: r["repeats"] for r in mixing.mix_records(df, targets).collect()}
+    mix = {r["doc_id"]: r["repeats"] for r in mixing.mix_records(df, targets, common(spark)).collect()}
     assert all(mix[1000 + i] == 3 for i in range(5)) and 2000 not in mix and 2001 not in mix
-    assert {r["source"] for r in mixing.unreachable_sources(df, targets).collect()} == {"small", "none"}
-    assert mixing.mix_records(df, targets).count() == len(mix)
-    assert mixing.mix_records(df.limit(0), targets).count() == 0 and mixing.mix_shares(df, targets.limit(0)).count() == 0
+    assert {r["source"] for r in mixing.unreachable_sources(df, targets, common(spark)).collect()} == {"small", "none"}
+    assert mixing.mix_records(df, targets, common(spark)).count() == len(mix)
+    assert mixing.mix_records(df.limit(0), targets, common(spark)).count() == 0 and mixing.mix_shares(df, targets.limit(0), common(spark)).count() == 0
 
 
 def test_mixing_buckets_agree_with_one_sort(spark, monkeypatch):
     rows = [(i, f"{PROSE} {i}", "a") for i in range(1, 301)]
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
     df = docs(spark, rows)
-    one = {r["doc_id"] for r in mixing.mix_records(df, targets, total_tokens=2500).collect()}
+    one = {r["doc_id"] for r in mixing.mix_records(df, targets, common(spark), total_tokens=2500).collect()}
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
-    many = {r["doc_id"] for r in mixing.mix_records(df, targets, total_tokens=2500).collect()}
+    many = {r["doc_id"] for r in mixing.mix_records(df, targets, common(spark), total_tokens=2500).collect()}
     assert one == many and 50 < len(one) < 150
 
 
+def test_mixing_ranges_are_even_at_mixed_quality(spark, monkeypatch):
+    """Junk has long keys, prose short ones; no range holds much more than its share of the rows."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 500)
+    sizes = []
+    keep = mixing.materialize
+
+    def seen(df, name="t"):
+        got = keep(df, name)
+        if "part" in got.columns:
+            sizes.extend(r["count"] for r in got.groupBy("part").count().collect())
+        return got
+
+    monkeypatch.setattr(mixing, "materialize", seen)
+    rows = [(i, f"Part {i}. {PROSE}" if i % 4 else f"{i} | {i}", "a") for i in range(1, 4001)]
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, weight double, max_repeats int")
+    taken = mixing.mix_records(docs(spark, rows), targets, common(spark), total_tokens=20_000).collect()
+    assert len(sizes) == 8 and max(sizes) <= 1000 and sum(sizes) == 4000
+    junk = sum(r["doc_id"] % 4 == 0 for r in taken)
+    assert taken and junk < 0.05 * len(taken)  # quality weights: a quarter of the rows, hardly any of the mix
+
+
 # ------------------------------------------------------------------ 8
 
 
