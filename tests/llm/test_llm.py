@@ -112,6 +112,23 @@ def test_hot_cell_is_split_without_loss(spark):
     assert got.count() == 600
 
 
+def test_queries_of_a_bin_are_split_without_loss(spark):
+    """Small bins, few queries a task: every bin has several tasks; several rounds of groups."""
+    rows = vectors_fixture()
+    df = naive(spark, [(i, "s", "t", m, [float(x) for x in v]) for i, v, m in rows])
+    one = {tuple(r) for r in multi_index.similar_vectors(df).collect()}
+    many = {tuple(r) for r in multi_index.similar_vectors(df, bin_rows=100, task_queries=40).collect()}
+    assert one == many
+
+
+def test_groups_in_rounds(spark, monkeypatch):
+    rows = vectors_fixture()
+    df = naive(spark, [(i, "s", "t", m, [float(x) for x in v]) for i, v, m in rows])
+    one = {tuple(r) for r in multi_index.similar_vectors(df).collect()}
+    monkeypatch.setattr(multi_index, "ROUND_BYTES", 1)
+    assert {tuple(r) for r in multi_index.similar_vectors(df).collect()} == one
+
+
 def test_heap_walk_equals_block_walk():
     rng = np.random.default_rng(1)
     d1, d2 = rng.random((5, 8)), rng.random((5, 9))
@@ -126,9 +143,9 @@ def test_heap_walk_equals_block_walk():
 def test_recall_report(spark):
     rows = vectors_fixture()
     df = naive(spark, [(i, "s", "t", m, [float(x) for x in v]) for i, v, m in rows])
-    r = multi_index.recall_report(df, "id % 10 = 0").first()
-    assert r["queries"] == 56 and r["recall"] >= 0.97
-    assert multi_index.recall_report(df.limit(0)).first()["recall"] is None
+    got = {r["grp"]: r for r in multi_index.recall_report(df, "id % 10 = 0").collect()}
+    assert set(got) == {None, "m", "other"} and got[None]["queries"] == 56 and all(r["recall"] >= 0.97 for r in got.values())
+    assert multi_index.recall_report(df.limit(0)).where("recall is not null").count() == 0
 
 
 # ------------------------------------------------------------------ 2
