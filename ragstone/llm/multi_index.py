@@ -398,6 +398,7 @@ def _search(valid, sizes, k, dim, candidates, min_similarity, query, sample_rows
     near = lists.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     if min_similarity is not None:
         near = near.where(F.col("similarity") >= min_similarity)
+    near = materialize(near, "imi")  # read twice below
 
     # distinct vectors -> rows: each vector stands for its copies, at most k+1 of them as neighbours
     member = heads.select("rep", "id", "rn")
