@@ -116,7 +116,7 @@ def leaks(
     hits = found.join(prefix, "shingle").withColumn("shift", F.col("doc_pos") - F.col("item_pos")).where(F.col("shift") + F.col("window_pos") >= 0)
     spots = materialize(hits.select("doc_id", "item_id", "part", "window_pos", "shift").distinct(), "leak")
     # verification of whole windows, word by word, for the documents that have a hit
-    texts = _hashed(spread(corpus).join(spots.select("doc_id").distinct(), "doc_id", "left_semi"), f"doc_id {kind}").select("doc_id", F.col("words").alias("dw"))
+    texts = _hashed(corpus.join(spots.select("doc_id").distinct(), "doc_id", "left_semi"), f"doc_id {kind}").select("doc_id", F.col("words").alias("dw"))
     joined = spots.join(texts, "doc_id").join(asked.select("item_id", "part", F.col("words").alias("iw")), ["item_id", "part"])
     here = F.slice("iw", F.col("window_pos") + 1, window)
     there = F.slice("dw", F.col("window_pos") + F.col("shift") + 1, window)

@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicate_groups(read_table(spark, sf_dir, "naive_rag"))
+    return near_duplicates.near_duplicate_groups(read_table(spark, sf_dir, "naive_rag"), min_similarity=0.75)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def split_items(
             cols = [t.column(c).to_pylist() for c in ("text", "max_words", "overlap_words", "max_chars")]
             for r, (text, words, lap, chars) in enumerate(zip(*cols)):
                 parts = [(0, 0, len(text or ""))]
-                if text and (words or chars):
+                if text and (chars and len(text) > chars or words and len(text.split()) > words):
                     parts = split_text(text, words, lap, chars)
                 for no, (o, a, b) in enumerate(parts):
                     whole = len(parts) == 1

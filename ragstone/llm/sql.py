@@ -46,4 +46,26 @@ with z as (select source, coalesce(sum(len(list_filter(string_split_regex(text,
 g as (select m.source, m.weight, m.max_repeats, coalesce(z.n, 0) as n from mix_targets m left join z using (source))
 select source from g where weight * (select sum(n) from g) > max_repeats * n"""
 
-SQL: dict[str, str] = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}
+P4_GROUPS = """
+with recursive w as (select id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as ws from naive_rag where text is not null),
+l as (select id, len(ws) as n, ws, min(id) over (partition by array_to_string(list_sort(ws), ' ')) as class_id from w where len(ws) >= 20),
+t as (select id, n, x, row_number() over (partition by id, x) as k from (select id, n, unnest(ws) as x from l where id = class_id)),
+p as (select a.id as a, b.id as b, a.n as na, b.n as nb, count(*) as c from t a join t b on a.x = b.x and a.k = b.k and a.id < b.id and least(a.n, b.n) >= 0.75 * greatest(a.n, b.n) group by all),
+e as (select a, b from p where c >= 0.75 * (na + nb - c)),
+edges as (select a, b from e union all select b, a from e),
+reach(a, b) as (select a, b from edges union select r.a, x.b from reach r join edges x on r.b = x.a),
+g as (select a, least(a, min(b)) as group_id from reach group by a),
+d as (select a, count(*) as links from edges group by a)
+select l.id, l.class_id, coalesce(g.group_id, l.class_id) as group_id, coalesce(d.links, 0) as links from l left join g on g.a = l.class_id left join d on d.a = l.class_id"""
+
+P6_ITEMS = """
+with q as (select item_id, unnest(['question', 'answer']) as part, unnest([question, answer]) as t from eval_pairs),
+iw as (select item_id, part, regexp_extract_all(strip_accents(lower(t)), '[\\p{L}\\p{N}]+') as w from q where t is not null),
+dw as (select doc_id, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+i12 as (select item_id, part, i, array_to_string(w[i : i + 11], ' ') as s from (select *, unnest(range(1, len(w) - 10)) as i from iw where len(w) >= 12)),
+d12 as (select doc_id, j, array_to_string(w[j : j + 11], ' ') as s from (select *, unnest(range(1, len(w) - 10)) as j from dw where len(w) >= 12)),
+m as (select doc_id, item_id, part, j - i as shift, i - row_number() over (partition by doc_id, item_id, part, j - i order by i) as island from d12 join i12 using (s)),
+r as (select doc_id, item_id, count(*) + 11 as n from m group by doc_id, item_id, part, shift, island)
+select item_id, count(distinct doc_id) as documents, cast(max(n) as integer) as longest from r group by item_id"""
+
+SQL: dict[str, str] = {"p4_groups": P4_GROUPS, "p6_by_item": P6_ITEMS, "p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6, "p7_found": P7}
