@@ -120,6 +120,13 @@ def strategy_chunks(docs: DataFrame, strategies: dict[str, Callable[[Column], Co
     return wide
 
 
+def parent_child(docs: DataFrame, parent: Callable[[Column], Column], child: Callable[[Column], Column], text_col: str = "text") -> DataFrame:
+    """``(..., parent_index, parent, child_index, child)``: small chunks to search in, each with the larger chunk that is handed on. Narrow."""
+    keep = [c for c in docs.columns if c != text_col]
+    parents = docs.select(*keep, F.posexplode(parent(F.col(text_col))).alias("parent_index", "parent"))
+    return parents.select(*keep, "parent_index", "parent", F.posexplode(child(F.col("parent"))).alias("child_index", "child"))
+
+
 def semantic(sentence_rows: DataFrame, doc_col: str, order_col: str, text_col: str, vec_col: str, threshold: float = 0.5) -> DataFrame:
     """``(doc, chunk_index, chunk, n_sentences)``: a new chunk where neighbours' similarity is strictly below the threshold.
 

@@ -110,6 +110,7 @@ ALIASES = {
     "bge-small": "BAAI/bge-small-en-v1.5",
     "bge-base": "BAAI/bge-base-en-v1.5",
 }
+# Names that mean the remote server.
 REMOTE_NAMES = ("tei", "remote", "gpu", "rtx")
 
 

@@ -15,6 +15,10 @@ from ragstone.functions.text import tokens
 from ragstone.session import materialize
 
 
+SALTS = 16
+MAX_RANKED_QUERIES = 10_000
+
+
 class BM25:
     """Okapi BM25 over ``(id, text)``; a null text is an empty document. Ids are compared as they are (long or string)."""
 
@@ -53,11 +57,12 @@ class BM25:
         posts = held.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
         n = F.lit(float(total["n_docs"]))
         df = posts.groupBy("term").agg(F.count("*").alias("df"))
-        part = (
-            F.col("asked") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-            * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / avgdl))
-        )
-        return posts.join(df, "term").join(asked, "term").groupBy("qid", "id").agg(F.sum(part).alias("score"))
+        weight = F.col("asked") * F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        # the asked terms, few, carry the weights; a term is met in SALTS places, so a frequent one is not one task's work
+        weighted = asked.join(df, "term").select("qid", "term", weight.alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = posts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        part = F.col("weight") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / avgdl))
+        return salted.join(weighted, ["term", "salt"]).groupBy("qid", "id").agg(F.sum(part).alias("score"))
 
     def top_k(self, queries: DataFrame, k: int = 10, query_id: str = "qid", query_col: str = "query") -> DataFrame:
         """``(qid, id, rank, score)``, score rounded to 9 decimals for the order, ties by id, filled up with zero scores."""
@@ -71,7 +76,9 @@ class BM25:
         return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k).select("qid", "id", "rank", "score")
 
     def rank_all(self, queries: DataFrame, query_id: str = "qid", query_col: str = "query") -> DataFrame:
-        """Every document for every query of a stated query set, zero scores included."""
+        """Every document for every query of a stated query set (at most ``MAX_RANKED_QUERIES``), zero scores included."""
+        if queries.limit(MAX_RANKED_QUERIES + 1).count() > MAX_RANKED_QUERIES:
+            raise ValueError(f"more than {MAX_RANKED_QUERIES} queries; use top_k")
         base = queries.select(F.col(query_id).alias("qid")).join(self.lengths.select("id"), F.lit(True))
         got = base.join(self.scores(queries, query_id, query_col), ["qid", "id"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 9))
         w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ragstone.session import sound_unions
+
 
 def rrf(rankings: list[DataFrame], k: int = 60, top: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of any number of lists: sum of 1 / (k + rank), equal weights.
@@ -14,6 +16,7 @@ def rrf(rankings: list[DataFrame], k: int = 60, top: int | None = None) -> DataF
     Ties: the place in the first list, then in the second, and so on, then the id.
     One union and one aggregation, whatever the number of lists.
     """
+    sound_unions(rankings[0].sparkSession)
     tagged = [r.select("qid", "id", F.col("rank").alias("rank"), F.lit(i).alias("_list")) for i, r in enumerate(rankings)]
     both = reduce(DataFrame.unionByName, tagged)
     places = [F.min(F.when(F.col("_list") == i, F.col("rank"))).alias(f"_r{i}") for i in range(len(rankings))]
@@ -25,6 +28,7 @@ def rrf(rankings: list[DataFrame], k: int = 60, top: int | None = None) -> DataF
 
 def weighted_fusion(scored: list[tuple[DataFrame, float]], top: int | None = None) -> DataFrame:
     """Weighted sum of min-max scaled scores of lists ``(qid, id, score)``; a constant list scales to 0."""
+    sound_unions(scored[0][0].sparkSession)
     parts = []
     for df, weight in scored:
         w = Window.partitionBy("qid")

@@ -1,4 +1,4 @@
-"""Nearest neighbours of a query set: exact, with a filter, and approximate (IVF, LSH) with measured recall.
+"""Nearest neighbours of a query set: exact, with a filter, and by a stored inverted file (IVF) with measured recall.
 
 Exact search on a cluster: items are dealt into slots once, the query set goes
 to every slot once, each slot multiplies blocks of the two with numpy and emits
@@ -11,17 +11,20 @@ of another length than the query's have no distance and never match.
 
 from __future__ import annotations
 
+import math
+import time
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragstone.functions import vector
+from ragstone.session import materialize
 
 DIGITS = 9
+MAX_COLUMN_QUERIES = 10_000
+QUERY_BLOCK = 256  # queries multiplied at a time: bounds the matrix of distances
 
 
 def _usable(df: DataFrame, id_col: str, vec_col: str, out: str) -> DataFrame:
@@ -44,7 +47,11 @@ def knn(
     n = slots or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     rows = _usable(items, item_id, item_vec, "key").withColumns({"slot": F.pmod(F.xxhash64("key"), F.lit(n)).cast("int"), "kind": F.lit(1)})
     asks = _usable(queries, query_id, query_vec, "key").withColumns({"slot": F.explode(F.sequence(F.lit(0), F.lit(n - 1))), "kind": F.lit(0)})
-    both = asks.unionByName(rows).repartition(n, "slot").sortWithinPartitions("slot", "kind")
+    return ranked(_nearest_in_slots(asks.unionByName(rows).repartition(n, "slot"), k, exclude_self), k)
+
+
+def _nearest_in_slots(both: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """``(qid, id, distance)``: in every slot of ``both (key, vec, slot, kind)`` the ``k`` items (kind 1) nearest to each of its queries (kind 0)."""
 
     def run(batches):
         at, held = None, {}
@@ -68,7 +75,8 @@ def knn(
                             held.setdefault(int(d), []).append((key[m], x))
                             continue
                         for qid, q in held.get(int(d), []):
-                            yield from best(qid, q, key[m], x)
+                            for lo in range(0, len(qid), QUERY_BLOCK):
+                                yield from best(qid[lo : lo + QUERY_BLOCK], q[lo : lo + QUERY_BLOCK], key[m], x)
 
     def best(qid, q, ids, x):
         dist = np.round(1.0 - q @ x.T, DIGITS)
@@ -90,7 +98,7 @@ def knn(
         m = place < k
         yield pa.RecordBatch.from_arrays([pa.array(qid[q_at[m]], pa.int64()), pa.array(ids[i_at[m]], pa.int64()), pa.array(np.abs(d[m]), pa.float64())], names=["qid", "id", "distance"])
 
-    return ranked(both.mapInArrow(run, "qid bigint, id bigint, distance double"), k)
+    return both.sortWithinPartitions("slot", "kind").mapInArrow(run, "qid bigint, id bigint, distance double")
 
 
 def ranked(scored: DataFrame, k: int | None = None, by: str = "qid", score: str = "distance", descending: bool = False) -> DataFrame:
@@ -103,7 +111,9 @@ def ranked(scored: DataFrame, k: int | None = None, by: str = "qid", score: str
 
 
 def knn_columns(items: DataFrame, queries: DataFrame, k: int = 10, item_id: str = "id", item_vec: str = "embedding", query_id: str = "qid", query_vec: str = "embedding") -> DataFrame:
-    """The same as ``knn`` in column expressions only: the checkable form, for small query sets."""
+    """The same as ``knn`` in column expressions only: the checkable form, for at most ``MAX_COLUMN_QUERIES`` queries."""
+    if queries.limit(MAX_COLUMN_QUERIES + 1).count() > MAX_COLUMN_QUERIES:
+        raise ValueError(f"more than {MAX_COLUMN_QUERIES} queries; use knn")
     q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(query_vec).alias("_q"))
     x = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_vec).alias("_x"))
     scored = x.crossJoin(q).select("qid", "id", vector.cosine_distance(F.col("_q"), F.col("_x")).alias("distance")).where(F.col("distance").isNotNull())
@@ -113,66 +123,99 @@ def knn_columns(items: DataFrame, queries: DataFrame, k: int = 10, item_id: str
 # ------------------------------------------------------------------------------ approximate search
 
 
+def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
+    """Spherical k-means of a bounded sample of unit vectors."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        size = np.linalg.norm(sums, axis=1)
+        full = size > 0
+        c[full] = sums[full] / size[full, None]
+    return c
+
+
 class IVFIndex:
-    """Inverted file: k-means cells over the items, probes of the nearest cells, exact distances inside them.
+    """A stored inverted file: cells around centres, probes of the nearest cells, exact distances inside them.
 
     ``nprobe`` is the knob between accuracy and work, as the search width of a graph
-    index is. Fitted on at most ``sample_rows`` items; every item is indexed.
+    index is. Centres are fitted on at most about ``SAMPLE_ROWS`` items; every item is
+    indexed. The index is a folder: ``rows`` (id, vec, split) partitioned by cell, so a
+    search reads the probed cells only, and ``cells`` (cell, n, centre). Cells of more
+    than ``SPLIT_ROWS`` items are searched in splits by several tasks.
     """
 
-    def __init__(self, items: DataFrame, item_id: str = "id", item_vec: str = "embedding", cells: int = 16, sample_rows: int = 100_000, seed: int = 0):
-        self.items = _usable(items, item_id, item_vec, "id").withColumn("vec", vector.l2_normalise(F.col("vec")).cast("array<double>"))
-        n = self.items.count()
-        share = min(1.0, sample_rows / max(1, n))
-        sample = self.items.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-        model = KMeans(k=max(2, min(cells, max(2, n))), seed=seed, distanceMeasure="cosine", featuresCol="f").fit(sample.select(array_to_vector("vec").alias("f")))
-        c = np.array(model.clusterCenters())
-        self.centers = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-        self.n = n
-
-    def _cells(self, df: DataFrame, id_col: str, nprobe: int) -> DataFrame:
-        centers = self.centers
-
-        def run(batches):
-            for t in batches:
-                if t.num_rows == 0:
-                    continue
-                x = np.asarray(t.column("vec").flatten()).reshape(t.num_rows, -1)
-                near = np.argsort(-(x @ centers.T), axis=1, kind="stable")[:, :nprobe].astype(np.int32)
-                at = pa.array(np.repeat(np.arange(t.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([t.column(id_col).take(at), t.column("vec").take(at), pa.array(near.ravel())], names=[id_col, "vec", "cell"])
-
-        return df.select(id_col, "vec").mapInArrow(run, f"{id_col} bigint, vec array<double>, cell int")
-
-    def assigned(self) -> DataFrame:
-        """``(id, vec, cell)``: the index; written partitioned by cell it serves later sessions."""
-        return self._cells(self.items, "id", 1)
+    SAMPLE_ROWS, SPLIT_ROWS, MAX_CELLS = 50_000, 32_768, 4096
+
+    def __init__(self, spark, path: str):
+        """Opens a stored index. Its centres (at most ``MAX_CELLS``) are held by the driver."""
+        self.spark, self.path = spark, path.rstrip("/")
+        cells = spark.read.parquet(f"{self.path}/cells").orderBy("cell").collect()
+        self.centres = np.array([r["centre"] for r in cells]).reshape(len(cells), -1)
+        self.sizes = np.array([r["n"] for r in cells], np.int64)
+
+    @classmethod
+    def build(cls, items: DataFrame, path: str, item_id: str = "id", item_vec: str = "embedding", cells: int | None = None, seed: int = 0) -> "IVFIndex":
+        """Fits, writes and opens an index; ``cells`` defaults to the square root of the number of items. All vectors have one length."""
+        spark, path = items.sparkSession, path.rstrip("/")
+        rows = _usable(items, item_id, item_vec, "id").withColumn("vec", vector.l2_normalise(F.col("vec")).cast("array<double>"))
+        n = rows.count()
+        cut = int(min(1.0, cls.SAMPLE_ROWS / max(1, n)) * (1 << 30))
+        sample = rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < cut).select("vec").toArrow().column("vec").combine_chunks()
+        x = np.asarray(sample.flatten()).reshape(len(sample), -1) if len(sample) else np.zeros((0, 1))
+        centres = _lloyd(x, cells or max(4, min(cls.MAX_CELLS, math.isqrt(n))), seed)
+        split = F.pmod(F.xxhash64("id"), F.lit(1 << 20)).cast("int")
+        placed = _probes(rows, "id", centres, 1).withColumn("split", split)
+        placed.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+        sizes = {r["cell"]: r["n"] for r in cls._rows(spark, path).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        table = [(i, sizes.get(i, 0), [float(v) for v in c]) for i, c in enumerate(centres)]
+        spark.createDataFrame(table, "cell int, n bigint, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+        return cls(spark, path)
+
+    @staticmethod
+    def _rows(spark, path):
+        return spark.read.schema("id bigint, vec array<double>, split int, cell int").parquet(f"{path}/rows")
+
+    def _probed(self, queries: DataFrame, nprobe: int, query_id: str, query_vec: str) -> DataFrame:
+        q = _usable(queries, query_id, query_vec, "qid").withColumn("vec", vector.l2_normalise(F.col("vec")).cast("array<double>"))
+        return _probes(q, "qid", self.centres, min(nprobe, len(self.centres)))
 
     def search(self, queries: DataFrame, k: int = 10, nprobe: int = 4, query_id: str = "qid", query_vec: str = "embedding") -> DataFrame:
-        q = _usable(queries, query_id, query_vec, "qid").withColumn("vec", vector.l2_normalise(F.col("vec")).cast("array<double>"))
-        probes = self._cells(q, "qid", min(nprobe, len(self.centers))).withColumnRenamed("vec", "qvec")
-        scored = self.assigned().join(probes, "cell").select("qid", "id", F.round(F.greatest(F.lit(0.0), 1 - vector.dot(F.col("vec"), F.col("qvec"))), DIGITS).alias("distance"))
-        return ranked(scored, k)
+        """``(qid, id, rank, distance)``."""
+        splits = -(-np.maximum(self.sizes, 1) // self.SPLIT_ROWS)
+        first = np.r_[0, np.cumsum(splits)][:-1]
+        array = lambda v: F.array(*[F.lit(int(i)) for i in v])
+        cell = (F.col("cell") + 1).cast("int")
+        probes = materialize(self._probed(queries, nprobe, query_id, query_vec), "probe")
+        wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]  # at most all cells
+        rows = self._rows(self.spark, self.path).where(F.col("cell").isin(wanted or [-1]))  # prunes the folders
+        at = F.element_at(array(first), cell)
+        items = rows.select(F.col("id").alias("key"), "vec", (at + F.pmod("split", F.element_at(array(splits), cell))).alias("slot"), F.lit(1).alias("kind"))
+        asks = probes.select(F.col("qid").alias("key"), "vec", F.explode(F.sequence(at, at + F.element_at(array(splits), cell) - 1)).alias("slot"), F.lit(0).alias("kind"))
+        return ranked(_nearest_in_slots(asks.unionByName(items).repartition("slot"), k), k)
 
     def scanned(self, queries: DataFrame, nprobe: int, query_id: str = "qid", query_vec: str = "embedding") -> DataFrame:
         """``(fraction_scanned)``: items in the probed cells by all items, mean over the queries."""
-        q = _usable(queries, query_id, query_vec, "qid").withColumn("vec", vector.l2_normalise(F.col("vec")).cast("array<double>"))
-        sizes = self.assigned().groupBy("cell").agg(F.count("*").alias("n"))
-        per = self._cells(q, "qid", min(nprobe, len(self.centers))).join(sizes, "cell").groupBy("qid").agg(F.sum("n").alias("n"))
-        return per.agg((F.avg("n") / F.lit(float(max(1, self.n)))).alias("fraction_scanned"))
+        n = F.element_at(F.array(*[F.lit(int(i)) for i in self.sizes]), (F.col("cell") + 1).cast("int"))
+        per = self._probed(queries, nprobe, query_id, query_vec).groupBy("qid").agg(F.sum(n).alias("n"))
+        return per.agg((F.avg("n") / F.lit(float(max(1, self.sizes.sum())))).alias("fraction_scanned"))
 
 
-def lsh_knn(items: DataFrame, queries: DataFrame, k: int = 10, item_id: str = "id", item_vec: str = "embedding", query_id: str = "qid",
-            query_vec: str = "embedding", bucket_length: float = 0.5, tables: int = 4, seed: int = 0) -> DataFrame:
-    """Random-projection buckets on unit vectors, exact distances for rows sharing a bucket."""
-    unit = lambda df, i, v, out: _usable(df, i, v, out).withColumn("vec", vector.l2_normalise(F.col("vec")).cast("array<double>")).withColumn("f", array_to_vector("vec"))
-    x, q = unit(items, item_id, item_vec, "id"), unit(queries, query_id, query_vec, "qid")
-    model = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(x)
-    keys = lambda df: df.select("*", F.posexplode(F.transform("h", lambda v: F.xxhash64(v.cast("string")))).alias("tbl", "bucket")).drop("h", "f")
-    left = keys(model.transform(x))
-    right = keys(model.transform(q)).withColumnRenamed("vec", "qvec")
-    pairs = left.join(right, ["tbl", "bucket"]).dropDuplicates(["qid", "id"])
-    return ranked(pairs.select("qid", "id", F.round(F.greatest(F.lit(0.0), 1 - vector.dot(F.col("vec"), F.col("qvec"))), DIGITS).alias("distance")), k)
+def _probes(rows: DataFrame, id_col: str, centres: np.ndarray, nprobe: int) -> DataFrame:
+    """``(id, vec, cell)`` of the ``nprobe`` cells nearest to every row."""
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows == 0:
+                continue
+            x = np.asarray(t.column("vec").flatten()).reshape(t.num_rows, -1)
+            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+            at = pa.array(np.repeat(np.arange(t.num_rows), near.shape[1]))
+            yield pa.RecordBatch.from_arrays([t.column(id_col).take(at), t.column("vec").take(at), pa.array(near.ravel())], names=[id_col, "vec", "cell"])
+
+    return rows.select(id_col, "vec").mapInArrow(run, f"{id_col} bigint, vec array<double>, cell int")
 
 
 def recall_at_k(exact: DataFrame, approx: DataFrame, k: int = 10) -> DataFrame:
@@ -182,14 +225,22 @@ def recall_at_k(exact: DataFrame, approx: DataFrame, k: int = 10) -> DataFrame:
     return per.agg(F.avg(F.col("hits") / F.lit(float(k))).alias("recall"))
 
 
-def recall_sweep(items: DataFrame, queries: DataFrame, k: int = 10, nprobes=(1, 2, 4, 8, 16), cells: int = 16, **cols) -> DataFrame:
-    """``(method, nprobe, recall, fraction_scanned)``: the exact row (null nprobe, recall 1) and one row per setting."""
-    exact = knn(items, queries, k, **cols)
-    index = IVFIndex(items, cols.get("item_id", "id"), cols.get("item_vec", "embedding"), cells)
+def recall_sweep(index: IVFIndex, items: DataFrame, queries: DataFrame, k: int = 10, nprobes=(1, 2, 4, 8, 16), **cols) -> DataFrame:
+    """``(method, nprobe, recall, fraction_scanned, ms_per_query, total_ms)``: the exact row (null nprobe) and one row per setting.
+
+    Times are wall-clock times of this session, the writing of the result included.
+    """
+    spark = items.sparkSession
     qcols = {c: cols[c] for c in ("query_id", "query_vec") if c in cols}
-    out = recall_at_k(exact, exact, k).select(F.lit("flat").alias("method"), F.lit(None).cast("int").alias("nprobe"), "recall", F.lit(1.0).alias("fraction_scanned"))
+
+    def timed(df: DataFrame) -> tuple[DataFrame, float]:
+        began = time.perf_counter()
+        return materialize(df, "sweep"), (time.perf_counter() - began) * 1000
+
+    exact, flat_ms = timed(knn(items, queries, k, **cols))
+    n = max(1, exact.select("qid").distinct().count())
+    out = [("flat", None, recall_at_k(exact, exact, k).first()["recall"], 1.0, flat_ms / n, flat_ms)]
     for p in nprobes:
-        r = recall_at_k(exact, index.search(queries, k, p, **qcols), k).withColumn("_j", F.lit(1))
-        s = index.scanned(queries, p, **qcols).withColumn("_j", F.lit(1))
-        out = out.unionByName(r.join(s, "_j").select(F.lit("ivf").alias("method"), F.lit(p).cast("int").alias("nprobe"), "recall", "fraction_scanned"))
-    return out
+        got, ms = timed(index.search(queries, k, p, **qcols))
+        out.append(("ivf", p, recall_at_k(exact, got, k).first()["recall"], index.scanned(queries, p, **qcols).first()["fraction_scanned"], ms / n, ms))
+    return spark.createDataFrame(out, "method string, nprobe int, recall double, fraction_scanned double, ms_per_query double, total_ms double")

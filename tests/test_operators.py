@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragstone.operators import evaluation as ev
 from ragstone.operators import knn as nn
+from ragstone.operators import rerank as rr
 from ragstone.operators import statistics as st
 from ragstone.operators.bm25 import BM25
 from ragstone.operators.fusion import collapse, rrf, weighted_fusion
@@ -40,14 +41,42 @@ def test_knn_equals_brute_force_and_columns(spark):
     assert nn.knn(df.where("id < 3"), q, 10).count() == 3 * q.count()
 
 
-def test_ivf_curve(spark):
+def test_stored_ivf(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nn.IVFIndex, "SPLIT_ROWS", 40)  # cells in splits
     items = generators.clustered_vectors(spark, 600, 16, 8, 0.15, 1)
     q = items.where("id % 20 = 0").withColumnRenamed("id", "qid")
-    sweep = {r["nprobe"]: r for r in nn.recall_sweep(items, q, 5, (1, 3, 8), 8).collect()}
+    nn.IVFIndex.build(items, str(tmp_path / "ivf"), cells=8)
+    index = nn.IVFIndex(spark, str(tmp_path / "ivf"))  # reloaded
+    assert index.sizes.sum() == 600
+    sweep = {r["nprobe"]: r for r in nn.recall_sweep(index, items, q, 5, (1, 3, 8)).collect()}
     assert sweep[None]["recall"] == 1 and sweep[8]["recall"] == 1 and abs(sweep[8]["fraction_scanned"] - 1) < 1e-9
     assert sweep[1]["recall"] <= sweep[3]["recall"] <= 1 and sweep[1]["fraction_scanned"] < sweep[3]["fraction_scanned"] and sweep[1]["recall"] > 0.8
-    lsh = nn.recall_at_k(nn.knn(items, q, 5), nn.lsh_knn(items, q, 5), 5).first()["recall"]
-    assert 0.3 < lsh <= 1
+    assert sweep[3]["total_ms"] > 0 and index.search(q.limit(0)).count() == 0
+    every = {(r["qid"], r["rank"]): r["id"] for r in index.search(q, 5, 8).collect()}
+    assert every == {(r["qid"], r["rank"]): r["id"] for r in nn.knn(items, q, 5).collect()}
+
+
+def test_rerank_and_maxsim(spark):
+    texts = spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, None), (4, "red red pear")], "id bigint, text string")
+    ranking = spark.createDataFrame([(0, i, r) for r, i in enumerate((3, 2, 1, 4), 1)], "qid bigint, id bigint, rank bigint")
+    asked = spark.createDataFrame([(0, "red pear")], "qid bigint, query string")
+    got = rr.rerank(ranking, texts, asked, depth=4, k=4).orderBy("rank").collect()
+    assert [r["id"] for r in got] == [4, 2, 1, 3] and got[0]["score"] == 1 and got[3]["score"] is None
+    assert [r["id"] for r in rr.rerank(ranking, texts, asked, depth=2, k=4).orderBy("rank").collect()] == [2, 3]
+    q, t = np.array([[1.0, 0], [0, 1]]), np.array([[0.5, 0.5], [1, 0]])
+    assert rr.maxsim(q, t) == 1.5 and rr.maxsim(q, np.zeros((0, 2))) is None
+    words = ["red", "green", "apple", "pear"]
+    encode = lambda x: np.eye(4)[[words.index(w) for w in x.split()]] if x else np.zeros((0, 4))
+    late = rr.late_interaction(ranking, texts, asked, encode, 4, 4).orderBy("rank").collect()
+    assert [r["id"] for r in late] == [4, 2, 1, 3] and late[0]["score"] == 2
+
+
+def test_fusion_after_coalesced_windows(spark):
+    """Lists of very different sizes, both ranked by windows: the union must not trust their partitioning."""
+    small = spark.range(40).selectExpr("id % 8 as qid", "id", "cast(id as double) as distance")
+    large = spark.range(40_000).selectExpr("id % 8 as qid", "id div 8 as id", "cast(id as double) as distance")
+    got = rrf([nn.ranked(small), nn.ranked(large)])
+    assert got.groupBy("qid").agg(F.count("*").alias("n"), F.max("rank").alias("m"), F.countDistinct("rank").alias("d")).where("n <> m or n <> d").count() == 0
 
 
 def corpus(spark):

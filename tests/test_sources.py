@@ -1,11 +1,15 @@
 """Sources, sinks, generators, streaming and the driver's entry."""
 
+import http.server
 import json
+import threading
 import zipfile
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ragstone.functions.embedders import RemoteEmbedder
 from ragstone.session import clear_scratch, materialize, shared_dir
 from ragstone.sources import files, generators, sinks
 from ragstone.streaming import ingest
@@ -74,6 +78,44 @@ def test_row_keys_are_dense(spark):
     assert sinks.with_row_key(df.limit(0), ["x"]).count() == 0
 
 
+def test_row_keys_of_many_rows_and_a_hot_value(spark):
+    """150,000 rows, a third of them with one value: more than the range sampler sees."""
+    df = spark.range(150_000).selectExpr("case when id % 3 = 0 then -1 else id * 7919 % 150000 end as x", "id as row")
+    got = sinks.with_row_key(df, ["x"], "key", buckets=16)
+    assert got.agg(F.countDistinct("key"), F.min("key"), F.max("key")).first()[:] == (150_000, 1, 150_000)
+    wrong = got.withColumn("before", F.lag("x").over(Window.orderBy("key"))).where("before > x")
+    assert wrong.count() == 0
+
+
+def test_remote_embedder_against_a_stub_server():
+    class Stub(http.server.BaseHTTPRequestHandler):
+        def answer(self, body):
+            raw = json.dumps(body).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def do_GET(self):
+            self.answer({"model_id": "stub", "max_client_batch_size": 2})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["inputs"]
+            self.answer([[float(len(x)), 1.0] for x in asked] if len(asked) <= 2 else None)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        e = RemoteEmbedder(f"http://127.0.0.1:{server.server_port}/")
+        assert (e.name, e.dim, e.batch) == ("stub", 2, 2)
+        assert e.encode(["a", "bb", "ccc"]).tolist() == [[1, 1], [2, 1], [3, 1]]
+    finally:
+        server.shutdown()
+
+
 def test_upsert_table(spark, tmp_path):
     p, schema = str(tmp_path / "card"), "model string, mrr double"
     row = lambda *r: spark.createDataFrame([r], schema)
